@@ -56,7 +56,7 @@ CUES = {
         r"Impressum.{0,60}", r"Dieser Beitrag ist keine Anlageberatung\.", r"Alle Angaben ohne Gewähr\.", r".{2,40} – Registernummer.{0,30}",
     ],
     "links": [
-        r"(上一篇|下一篇|上一条|下一条|前の記事|次の記事|Previous|Next|Vorheriger Beitrag|Nächster Beitrag|Vorheriger|Nächster|Zurück|Weiter):.{2,160}",
+        r"(上一篇|下一篇|上一条|下一条|前の記事|次の記事|Previous|Next|Vorheriger (?:Artikel|Beitrag)|Nächster (?:Artikel|Beitrag)|Previous article|Next article|Vorheriger|Nächster|Zurück|Weiter):.{2,160}",
     ],
 }
 
