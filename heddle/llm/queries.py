@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boilerplate, look_alike, near_dup, repeated_lines, truncation
+from . import boilerplate, look_alike, near_dup, packing, repeated_lines, tokenizer, truncation
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,5 +39,13 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines.repeated_lines(_t(spark, sf_dir, "articles"), "article_id", "content", "source")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_classes, p3_found, p3_share_by_source, p5_found, p6_found)}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer.encode(_t(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "pack_sizes"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_classes, p3_found, p3_share_by_source, p5_found, p6_found, p8_ids, p9_packs)}
 ORACLES: dict[str, str] = {}
