@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boilerplate, look_alike, near_dup, packing, repeated_lines, tokenizer, truncation
+from . import boilerplate, look_alike, near_dup, packing, repeated_lines, sentences, tokenizer, truncation
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,5 +47,9 @@ def p9_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "pack_sizes"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_classes, p3_found, p3_share_by_source, p5_found, p6_found, p8_ids, p9_packs)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentences(_t(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_classes, p3_found, p3_share_by_source, p5_found, p6_found, p8_ids, p9_packs, p10_found)}
 ORACLES: dict[str, str] = {}
