@@ -66,8 +66,8 @@ def _fields(v: Column) -> dict[str, Column]:
         "md_d": x(r"^(?:\p{L}+\.?,\s+)?(\p{L}{3,12})\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})(?!\d)", 2),
         "md_y": x(r"^(?:\p{L}+\.?,\s+)?(\p{L}{3,12})\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})(?!\d)", 3),
         # the time stands behind the date, never within it
-        "hh": x(r"(?:\d{4}|\d日|[-/.]\d{1,2})[T,\s]*(?:um |at )?(?:上午|下午|凌晨|早上|中午|晚上|傍晚|午前|午後)?\s*(\d{1,2})(?:[:.時时h])(\d{1,2})", 1),
-        "mi": x(r"(?:\d{4}|\d日|[-/.]\d{1,2})[T,\s]*(?:um |at )?(?:上午|下午|凌晨|早上|中午|晚上|傍晚|午前|午後)?\s*(\d{1,2})(?:[:.時时h])(\d{1,2})", 2),
+        "hh": x(r"(?:日\s*|(?:\d{4}|[-/.]\d{1,2}),?(?:T|\s+))(?:um |at )?(?:上午|下午|凌晨|早上|中午|晚上|傍晚|午前|午後)?\s*(\d{1,2})[:.时時h](\d{1,2})", 1),
+        "mi": x(r"(?:日\s*|(?:\d{4}|[-/.]\d{1,2}),?(?:T|\s+))(?:um |at )?(?:上午|下午|凌晨|早上|中午|晚上|傍晚|午前|午後)?\s*(\d{1,2})[:.时時h](\d{1,2})", 2),
         "ss": x(r"\d{1,2}[:.]\d{2}:(\d{2})", 1),
         "sec2": x(r"\d{1,2}[時时]\d{1,2}分(\d{1,2})秒", 1),
         "frac": x(r"\d{1,2}:\d{2}:\d{2}[.,](\d{1,9})", 1),
