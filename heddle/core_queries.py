@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import problems
+from .plans import problems, q_rows, q_streams, q_tables, registry  # noqa: F401
 
-QUERIES: dict = {**problems.QUERIES}
-ORACLES: dict = {**problems.ORACLES}
+flagship = q_tables.flagship
+QUERIES: dict = {**registry.QUERIES, **problems.QUERIES}
+ORACLES: dict = {**registry.ORACLES, **problems.ORACLES}

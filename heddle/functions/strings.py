@@ -18,29 +18,34 @@ def first_filled(*cols: Column) -> Column:
     return F.coalesce(*[blank_to_null(c) for c in cols])
 
 
+# Every white-space character of Unicode, and marks without width.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+NO_WIDTH = "\u200b\u200c\u200d\u2060\ufeff"
+
+
 def clean_text(c: Column) -> Column:
-    """One line: control characters, short tags and invisible marks go, white space collapses."""
-    c = F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
+    """One line: control characters, short tags and marks without width go, white space collapses."""
+    c = F.regexp_replace(c, r"[\x00-\x08\x0E-\x1F\x7F]", "")
     c = F.regexp_replace(c, r"<[^<>]{0,200}>", "")
-    c = F.regexp_replace(c, r"[ ​﻿]", " ")
-    return F.regexp_replace(F.regexp_replace(c, r"[\s　 -  \u0085]+", " "), r"^ | $", "")
+    c = F.regexp_replace(c, f"[{NO_WIDTH}]", "")
+    return F.regexp_replace(F.regexp_replace(c, f"[{SPACES}]+", " "), r"^ | $", "")
 
 
 def clean_lines(c: Column) -> Column:
     """Keeps line breaks: spaces within lines collapse, at most one blank line stays between lines."""
     c = F.regexp_replace(c, r"\r\n?", "\n")
-    c = F.regexp_replace(c, r"[ \t 　]+", " ")
+    c = F.regexp_replace(c, "[ \t\xa0\u3000]+", " ")
     c = F.regexp_replace(c, r" ?\n ?", "\n")
     return F.regexp_replace(F.regexp_replace(c, r"\n{3,}", "\n\n"), r"^[\n ]+|[\n ]+$", "")
 
 
 def tags_to_space(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"<[^<>]{0,200}>", " "), r"[\s　]+", " "), r"^ | $", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"<[^<>]{0,200}>", " "), f"[{SPACES}]+", " "), r"^ | $", "")
 
 
 def match_title(c: Column) -> Column:
     """Lower case, ideographs, kana and ASCII letters and digits only."""
-    return F.lower(F.regexp_replace(c, r"[^0-9A-Za-z぀-ヿ一-鿿]", ""))
+    return F.lower(F.regexp_replace(c, "[^0-9A-Za-z\u3040-\u30ff\u4e00-\u9fff]", ""))
 
 
 def fingerprint_text(c: Column) -> Column:

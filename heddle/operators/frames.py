@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.maths import clip
 
+NO_DEVIATION = 1e-9  # below it a series stands still, whatever the rounding of its sums
+
 
 def lagged_z(x: Column, keys: list[str], order: list[str], w: int, least: int, bound: float = 6.0) -> Column:
     """(x - mean) / deviation of the w rows before, null with fewer than `least` values or no deviation, bounded."""
     f = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-w, -1)
-    sd = F.when(F.count(x).over(f) >= least, F.nullif(F.stddev_samp(x).over(f), F.lit(0.0)))
+    dev = F.stddev_samp(x).over(f)
+    sd = F.when((F.count(x).over(f) >= least) & (dev > NO_DEVIATION), dev)
     return clip((x - F.avg(x).over(f)) / sd, -bound, bound)
 
 

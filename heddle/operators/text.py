@@ -85,11 +85,20 @@ def weak_labels(weights: DataFrame, g: str, c: str, pos: str, neg: str, tokens_c
     )
 
 
+DICTIONARY = 5_000  # aliases sent to every worker; beyond it aliases and texts meet by their character pairs
+
+
 def mentions(docs: DataFrame, id_col: str, text_col: str, aliases: DataFrame, key: str, alias: str) -> DataFrame:
-    """(id, key): one row for each document and entity of which it holds an alias. The alias table is a small dictionary, its size checked by Spark's broadcast limit."""
+    """(id, key): one row for each document and entity of which it holds an alias. Null or empty aliases match nothing."""
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
-    a = aliases.select(F.col(key).alias("key"), F.col(alias).alias("_alias")).filter("_alias is not null and _alias <> ''")
-    return d.join(F.broadcast(a), F.contains("_text", F.col("_alias"))).select("id", "key").distinct()
+    a = aliases.select(F.col(key).alias("key"), F.col(alias).alias("_alias")).filter("_alias is not null and _alias <> ''").distinct()
+    if a.limit(DICTIONARY + 1).count() <= DICTIONARY:
+        return d.join(F.broadcast(a), F.contains("_text", F.col("_alias"))).select("id", "key").distinct()
+    pairs = F.transform(F.sequence(F.lit(1), F.length("_text")), lambda i: F.substring(F.col("_text"), i, F.lit(2)))
+    ones = F.transform(F.sequence(F.lit(1), F.length("_text")), lambda i: F.substring(F.col("_text"), i, F.lit(1)))
+    heads = d.filter("_text <> ''").select("id", F.explode(F.array_distinct(F.concat(pairs, ones))).alias("_head"))
+    near = heads.join(a.withColumn("_head", F.substring("_alias", 1, 2)), "_head").select("id", "key", "_alias")
+    return near.join(d, "id").filter(F.contains("_text", F.col("_alias"))).select("id", "key").distinct()
 
 
 def alias_scan(docs: DataFrame, id_col: str, text_col: str, aliases: list[tuple[str, str]]) -> DataFrame:

@@ -103,7 +103,7 @@ def sectioned_words(lines: DataFrame, header: str = r"^\[(.+)\]$", separators: s
     head = F.nullif(F.regexp_extract(F.trim("value"), header, 1), F.lit(""))
     w = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)  # a word list, read by one task
     x = lines.withColumn("_h", head).withColumn("grp", F.last("_h", ignorenulls=True).over(w)).filter("_h is null and grp is not null")
-    words = F.filter(F.transform(F.split("value", separators), F.trim), lambda s: s != "")
+    words = F.filter(F.transform(F.split("value", separators), lambda s: F.trim(s)), lambda s: s != "")
     return x.select("grp", F.explode(words).alias("word")).distinct()
 
 
