@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.maths import clip
 
-NO_DEVIATION = 1e-9  # below it a series stands still, whatever the rounding of its sums
+NO_DEVIATION = 1e-6  # below it a series stands still, whatever the rounding of its sums
 
 
 def lagged_z(x: Column, keys: list[str], order: list[str], w: int, least: int, bound: float = 6.0) -> Column:

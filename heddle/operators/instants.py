@@ -74,7 +74,7 @@ def _fields(v: Column) -> dict[str, Column]:
         "half": F.lower(x(r"(上午|下午|凌晨|早上|中午|晚上|傍晚|午前|午後|(?i:\b[ap]\.?m\b\.?))", 1)),
         "off": x(r"(?:\d|\s|UTC|GMT|\()\s*((?:(?<=[0-9\sCT])[+-])\d{1,2}(?::?\d{2})?)\)?$", 1),
         "zone": x(r"[\[\s(]([A-Z][A-Za-z]+/[A-Za-z_]+(?:/[A-Za-z_]+)?)[\])]?$", 1),
-        "abbr": x(r"\d\s*\(?([A-Z]{1,5})\)?$", 1),
+        "abbr": x(r"(?:\d|\b[AaPp]\.?[Mm]\.?)\s*\(?([A-Z]{1,5})\)?$", 1),
         "ago_n": x(r"(?i)^(\d{1,4})\s*(秒|分钟|分鐘|分|小时|小時|時間|天|日|周|週|sec|second|min|minute|hour|hr|day|week|stunde|tag)\p{L}*\.?\s*(前|ago|zuvor)$", 1),
         "ago_u": F.lower(x(r"(?i)^(\d{1,4})\s*(秒|分钟|分鐘|分|小时|小時|時間|天|日|周|週|sec|second|min|minute|hour|hr|day|week|stunde|tag)\p{L}*\.?\s*(前|ago|zuvor)$", 2)),
         "ago_de": x(r"(?i)^vor (\d{1,4}) (sekunde|minute|stunde|tag|woche)\p{L}*$", 1),

@@ -271,7 +271,7 @@ def _(spark, d):
 # ------------------------------------------------------------------ windows
 
 SERIES = f"{SIGNAL}, series AS (SELECT source, bucket, coalesce(sum(v * w) / nullif(sum(w), 0), avg(v)) AS v FROM signal GROUP BY 1, 2)"
-ZED = f"{SERIES}, z AS (SELECT source, bucket, CASE WHEN count(v) OVER w >= 4 AND stddev_samp(v) OVER w > 1e-9 THEN greatest(-6, least(6, (v - avg(v) OVER w) / stddev_samp(v) OVER w)) END AS z FROM series WINDOW w AS (PARTITION BY source ORDER BY bucket ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))"
+ZED = f"{SERIES}, z AS (SELECT source, bucket, CASE WHEN count(v) OVER w >= 4 AND stddev_samp(v) OVER w > 1e-6 THEN greatest(-6, least(6, (v - avg(v) OVER w) / stddev_samp(v) OVER w)) END AS z FROM series WINDOW w AS (PARTITION BY source ORDER BY bucket ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))"
 
 
 def _series(spark, d):
@@ -646,7 +646,7 @@ def _(spark, d):
     return E.result_rows(spark, [(g, E.panel_fit(r.filter(F.col("category") == g), "ar", ["L_turnover_w", "L_size_w"], "firm", "day", sweeps=6)) for g in ("G1", "G2", "G3", "G4")])
 
 
-@query("eco16_index_variants", f"WITH {SIGNAL}, v AS (SELECT 'mean' AS variant, source, bucket, avg(v) AS v FROM signal GROUP BY 2, 3 UNION ALL SELECT 'max', source, bucket, max(v) FROM signal GROUP BY 2, 3), z AS (SELECT variant, bucket, CASE WHEN count(v) OVER w >= 4 AND stddev_samp(v) OVER w > 1e-9 THEN greatest(-6, least(6, (v - avg(v) OVER w) / stddev_samp(v) OVER w)) END AS z FROM v WINDOW w AS (PARTITION BY variant, source ORDER BY bucket ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)) SELECT variant, CAST(bucket AS VARCHAR) AS bucket, round(avg(z), 5) AS z FROM z GROUP BY 1, 2")
+@query("eco16_index_variants", f"WITH {SIGNAL}, v AS (SELECT 'mean' AS variant, source, bucket, avg(v) AS v FROM signal GROUP BY 2, 3 UNION ALL SELECT 'max', source, bucket, max(v) FROM signal GROUP BY 2, 3), z AS (SELECT variant, bucket, CASE WHEN count(v) OVER w >= 4 AND stddev_samp(v) OVER w > 1e-6 THEN greatest(-6, least(6, (v - avg(v) OVER w) / stddev_samp(v) OVER w)) END AS z FROM v WINDOW w AS (PARTITION BY variant, source ORDER BY bucket ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)) SELECT variant, CAST(bucket AS VARCHAR) AS bucket, round(avg(z), 5) AS z FROM z GROUP BY 1, 2")
 def _(spark, d):
     s = signal(spark, d)
     v = s.groupBy("source", "bucket").agg(F.avg("v").alias("mean"), F.max("v").alias("max")).unpivot(["source", "bucket"], ["mean", "max"], "variant", "v")
@@ -713,7 +713,7 @@ def _(spark, d):
     return spark.createDataFrame([(int(a), int(b), float(h)) for a, b, h in E.average_linkage(m)], "a int, b int, height double")
 
 
-@query("eco25_topic_index", f"WITH {NOTES}, t AS (SELECT source, strftime(date, '%Y-%m') AS bucket, count(*) AS n, avg(length(body)) AS v FROM notes WHERE date IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2), c AS (SELECT *, sum(n) OVER (PARTITION BY source) AS total FROM t) SELECT source, bucket, n, round(CASE WHEN count(v) OVER w >= 6 AND stddev_samp(v) OVER w > 1e-9 THEN greatest(-6, least(6, (v - avg(v) OVER w) / stddev_samp(v) OVER w)) END, 5) AS z FROM c WHERE total >= 20 WINDOW w AS (PARTITION BY source ORDER BY bucket ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)")
+@query("eco25_topic_index", f"WITH {NOTES}, t AS (SELECT source, strftime(date, '%Y-%m') AS bucket, count(*) AS n, avg(length(body)) AS v FROM notes WHERE date IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2), c AS (SELECT *, sum(n) OVER (PARTITION BY source) AS total FROM t) SELECT source, bucket, n, round(CASE WHEN count(v) OVER w >= 6 AND stddev_samp(v) OVER w > 1e-6 THEN greatest(-6, least(6, (v - avg(v) OVER w) / stddev_samp(v) OVER w)) END, 5) AS z FROM c WHERE total >= 20 WINDOW w AS (PARTITION BY source ORDER BY bucket ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)")
 def _(spark, d):
     g = notes(spark, d).filter("date is not null and source is not null").groupBy("source", D.month_key(F.col("date")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.length("body")).alias("v"))
     c = g.withColumn("total", F.sum("n").over(W.partitionBy("source"))).filter("total >= 20")
