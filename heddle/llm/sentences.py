@@ -88,7 +88,7 @@ def _camel(text: str, at: int) -> bool:
 def _word_before(text: str, at: int, low: int) -> str:
     i = at
     while i > low and not text[i - 1].isspace() and text[i - 1] not in "“„«「『（([\"¿¡’”»" and at - i < 24:
-        if text[i - 1] == "." and i < at and text[i].isupper() and (text[max(low, i - 4) : i - 1].islower() or text[i - 2 : i - 1].isdigit()) and text[max(low, i - 4) : i - 1].isalnum():
+        if text[i - 1] == "." and i < at and text[i].isupper() and (text[i - 2 : i - 1].isdigit() or text[max(low, i - 4) : i - 1].isalpha() and text[max(low, i - 4) : i - 1].islower()):
             break  # a missing space between two sentences
         i -= 1
     return text[i:at]

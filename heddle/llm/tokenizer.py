@@ -69,7 +69,7 @@ class PerfectHash:
         del self.hashes
 
     def _slot(self, h: int, d: int) -> int:
-        return ((h >> 17) + d * (((h >> 41) | 1) & 0x7FFFFF)) % self.n
+        return ((((h ^ (d * 0x9E3779B97F4A7C15)) * 0xFF51AFD7ED558CCD) >> 32) & 0xFFFFFFFF) % self.n
 
     def get(self, key: bytes) -> int:
         """The key's rank, or -1."""
