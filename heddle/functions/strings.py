@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,3 +100,15 @@ def unwrap_base64url(c: Column) -> Column:
     b = F.translate(c, "-_", "+/")
     b = F.concat(b, F.repeat(F.lit("="), F.pmod(-F.length(b), F.lit(4))))
     return F.decode(F.try_to_binary(b, F.lit("base64")), "UTF-8")
+
+
+def nfkc(c: Column) -> Column:
+    """Compatibility form with HTML entities resolved and the byte order mark gone; Spark has no built-in for it, so it runs on Arrow batches."""
+    @F.pandas_udf("string")
+    def form(s: pd.Series) -> pd.Series:
+        import html
+        import unicodedata
+
+        return s.map(lambda x: x if x is None else unicodedata.normalize("NFKC", html.unescape(x)).replace("﻿", ""), na_action="ignore")
+
+    return form(c)

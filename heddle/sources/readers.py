@@ -109,3 +109,9 @@ def sectioned_words(lines: DataFrame, header: str = r"^\[(.+)\]$", separators: s
 
 def stop_words(lines: DataFrame) -> DataFrame:
     return lines.select(F.trim("value").alias("word")).filter("word <> '' and not startswith(word, '#')").distinct()
+
+
+def folder(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = None) -> DataFrame:
+    """All files below a folder as one table; files that cannot be read are skipped."""
+    r = spark.read.format(fmt).option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true")
+    return (r.schema(schema) if schema else r).load(path)

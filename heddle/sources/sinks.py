@@ -61,12 +61,13 @@ def stage(spark: SparkSession, build, folder: str, name: str, *inputs: str, forc
     return spark.read.parquet(path)
 
 
-def report(df: DataFrame, **measures) -> tuple[DataFrame, object]:
-    """The frame with counters that fill as it is written; read them from the observation afterwards."""
-    from pyspark.sql import Observation
-
-    o = Observation()
-    return df.observe(o, *[v.alias(k) for k, v in measures.items()]), o
+def report(df: DataFrame, path: str, **measures) -> dict:
+    """Writes the stage table and returns its counters, read off the written columns in one aggregate; also kept as JSON beside the table."""
+    df.write.mode("overwrite").parquet(path)
+    spark = df.sparkSession
+    row = spark.read.parquet(path).agg(*[v.alias(k) for k, v in measures.items()])
+    row.coalesce(1).write.mode("overwrite").json(path + "-report")
+    return row.collect()[0].asDict()  # one row
 
 
 def relabel(df: DataFrame, column: str, labels: DataFrame, old: str, new: str) -> DataFrame:

@@ -65,9 +65,8 @@ def test_insert_new_and_stage(spark, tmp_path):
 
 def test_split_complete_and_report(spark, tmp_path):
     df = spark.createDataFrame([("t", None), ("t", "c"), (" ", "c")], "title string, content string")
-    seen, o = sinks.report(df, n=F.count(F.lit(1)), empty=F.sum(F.col("content").isNull().cast("int")))
-    sinks.split_complete(seen, str(tmp_path / "out"), ["title", "content"])
-    assert o.get == {"n": 3, "empty": 1}
+    assert sinks.report(df, str(tmp_path / "stage"), n=F.count(F.lit(1)), empty=F.count_if(F.col("content").isNull())) == {"n": 3, "empty": 1}
+    sinks.split_complete(df, str(tmp_path / "out"), ["title", "content"])
     assert spark.read.parquet(str(tmp_path / "out")).filter("is_complete = 'true'").count() == 1
 
 
