@@ -15,10 +15,10 @@ STORY, FURNITURE, UNSURE = 0, 1, 2
 
 # Names of page sections, by which navigation is known.
 SECTIONS = {
-    "zh": "首页 财经 科创 数据中心 芯片 政策 产业 公司 观点 人物 专题 视频 直播 研报 会议 招聘 学院 论坛 港股 算力",
-    "en": "Home Chips Energy Markets Policy Asia Companies Research Opinion Video Podcasts Events Jobs Newsletters Archive Compute",
-    "de": "Startseite Märkte Wirtschaft Technik Chips Energie Firmen Karriere Video Abo Archiv",
-    "ja": "トップ 経済 企業 市況 半導体 地域 人事 統計 特集 解説 動画 会員",
+    "zh": "首页 财经 科创 数据中心 芯片 政策 产业 公司 观点 人物 专题 视频 直播 研报 会议 招聘 学院 论坛 港股 算力 新闻 国际 国内 科技 股票 基金 行情 快讯 滚动 数据 评论 图片 活动 投资 金融 能源 登录 注册 搜索 关于",
+    "en": "Home Chips Energy Markets Policy Asia Companies Research Opinion Video Podcasts Events Jobs Newsletters Archive Compute Data World Business Technology Tech Science Politics Finance Europe Americas Startups Cloud Hardware Software Security News Latest Subscribe Login Search Menu",
+    "de": "Startseite Märkte Wirtschaft Technik Chips Energie Firmen Karriere Video Abo Archiv Daten Politik Finanzen Börse Unternehmen Meinung Forschung Wissen Termine Suche Menü Anmelden",
+    "ja": "トップ 経済 企業 市況 半導体 地域 人事 統計 特集 解説 動画 会員 ニュース 国際 政治 社会 金融 技術 データ 写真 検索 ログイン 株価",
 }
 
 # Whole-line patterns of furniture, in the consistent form. S stands for the
@@ -31,7 +31,7 @@ CUES = {
         r"当サイトではクッキーを.{1,40}", r"すべて許可.{0,30}", r"Wir verwenden Cookies\..{0,80}", r"(Accept all|Alle akzeptieren)( [|·] .{1,30})+",
     ],
     "byline": [
-        r"(责任编辑|责编|编辑|作者|记者|校对|审校|撰文|来源|稿件来源)[:/].{1,60}", r"文\|.{1,40}", r"文[・·].{1,20}", r"本报讯 记者.{1,40}", r".{1,24}(记者|通讯员) [^,。:]{2,12}",
+        r"(责任编辑|责编|编辑|作者|记者|校对|审校|撰文|来源|稿件来源|监制|统筹|翻译|摄影|图片|文字)[:/].{1,60}", r"(Redaktion|Autor|Autorin|Text|Bearbeitung|Quelle|Foto|Author|Editor|Edited by|Written by|Source|Photo|Byline|取材|編集|執筆|撮影|写真|記者|担当):? ?: ?[^.。!?]{2,60}", r"文\|.{1,40}", r"文[・·].{1,20}", r"本报讯 记者.{1,40}", r".{1,24}(记者|通讯员) [^,。:]{2,12}",
         r"\(.{1,24}編集部\)", r".{1,24} [^ 、。,]{2,10}記者", r"(记者|通讯员) ?[^,。]{2,8} (报道|摄|文)",
         r"By [^.,:;]{3,40}, [^.,:;]{2,40} (staff|desk|correspondent|reporter)", r"(Reporting|Additional reporting|Writing|Editing|Edited) by [^.:]{3,40}(; editing by [^.:]{3,40})?",
         r"[^.|:,]{3,40} \| [^.|:,]{2,20} desk", r"[^.,:]{3,40} covers [^.]{3,40} for [^.]{2,40}", r"Von [^.,:]{3,40}, [^.,:]{2,40}", r"[^.,:]{3,40} berichtet über Prozessoren",
@@ -95,13 +95,20 @@ def cue(line: str) -> str:
         return "cue"
     if heads.match(line):
         return "head"
-    if len(line) <= 140 and (BOXED.match(line) or run.match(line)):
+    if len(line) <= 140 and (BOXED.match(line) or run.match(line) or _section_list(line)):
         return "nav"
     if BARRED.match(line) and not BULLET.match(line) and not LINK_MARK.match(line):
         return "nav"
     return ""
 
 
+def _section_list(line: str) -> bool:
+    """Three or more section names with nothing but spaces between them."""
+    names = patterns()[2]
+    words = line.split()
+    return len(words) >= 3 and sum(w in names for w in words) >= 0.75 * len(words)
+
+
 def roles(lines: list[str]) -> list[int]:
     """A role for each line of one content, in the consistent form; blank lines are STORY."""
     out = [STORY] * len(lines)
@@ -120,6 +127,20 @@ def roles(lines: list[str]) -> list[int]:
             out[i] = FURNITURE
         else:
             listing = False
+    # a list of marked lines behind an unknown header, below the last sentence of the story, is a list of links
+    tail = len(lines)
+    while tail and (out[tail - 1] or not lines[tail - 1].strip() or (len(lines[tail - 1]) <= 160 and not SENTENCE_END.search(lines[tail - 1].strip()) and not BULLET.match(lines[tail - 1].strip()))):
+        tail -= 1
+    i = tail
+    while i < len(lines):
+        marks = []
+        k = i + 1
+        while k < len(lines) and (m := LINK_MARK.match(lines[k].strip())):
+            marks.append(re.sub(r"\d+", "0", m[1].strip()))
+            k += 1
+        if len(marks) >= 2 and len(set(marks)) == 1 and lines[i].strip() and len(lines[i]) <= 30 and not LINK_MARK.match(lines[i].strip()):
+            out[i:k] = [FURNITURE] * (k - i)
+        i = max(k, i + 1)
     # single section names count as navigation in a run of two or more, or beside furniture
     for i, k in enumerate(kinds):
         if k == "section" and any(0 <= j < len(kinds) and (kinds[j] == "section" or out[j] == FURNITURE) for j in (i - 1, i + 1)):
