@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
+
 
 def first_of(df: DataFrame, keys: list[str | Column], order: list[str | Column]) -> DataFrame:
     """One row a key, the first by order. Null keys are keys."""
@@ -51,16 +50,7 @@ def statuses(df: DataFrame, hash_col: str, accepted: Column, order: list[str]) -
 
 
 def _shared(df: DataFrame) -> str:
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    jdir = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir()
-    if not base and jdir.isDefined():
-        base = jdir.get()
-    if not base:
-        import tempfile
-
-        base = f"file://{tempfile.gettempdir()}/heddle-checkpoints"
-    df.sparkSession.sparkContext.setCheckpointDir(base)
-    return os.path.join(base, f"heddle-{uuid.uuid4().hex}")
+    return shared_folder(df.sparkSession)
 
 
 def greedy_keys(df: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
