@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .furniture import END_LINE
-from .pages import arrow_map, has_text, page_lines
+from .pages import arrow_map, has_text, page_lines, salted_join
 
 WHOLE, CUT, DOUBTFUL = 0, 1, 2
 
@@ -142,7 +142,7 @@ def _look_up(key, tokens, words):
 
     trie = Trie(words["word"])
     known = [trie.known(t) for t in tokens["token"]]
-    return pd.DataFrame({"id": tokens["id"], "cut": [not k for k, _ in known]})
+    return pd.DataFrame({"token": tokens["token"], "cut": [not k for k, _ in known]})
 
 
 def judged(df: DataFrame, id_col: str, text_col: str, source_col: str, kind_col: str) -> DataFrame:
@@ -152,9 +152,14 @@ def judged(df: DataFrame, id_col: str, text_col: str, source_col: str, kind_col:
     words = (
         src.select("text").mapInArrow(_vocabulary, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n >= 2").select("word", F.substring("word", 1, 2).alias("head"))
     )
-    doubtful = v.filter((F.col("verdict") == DOUBTFUL) & (F.col("token") != "")).select("id", "token", F.substring("token", 1, 2).alias("head"))
-    looked = doubtful.groupBy("head").cogroup(words.join(doubtful.select("head").distinct(), "head", "left_semi").groupBy("head")).applyInPandas(_look_up, "id long, cut boolean")
-    return v.join(looked, "id", "left").select("id", "source", F.coalesce("cut", F.col("verdict") == CUT).alias("cut"))
+    doubtful = v.filter((F.col("verdict") == DOUBTFUL) & (F.col("token") != "")).select("token").distinct().select("token", F.substring("token", 1, 2).alias("head"))
+    # tokens, not rows, meet the words: a common ending is looked up once
+    near = words.join(doubtful.select("head").distinct(), "head", "left_semi")
+    looked = doubtful.groupBy("head").cogroup(near.groupBy("head")).applyInPandas(_look_up, "token string, cut boolean")
+    # rows that need no look-up get a key of their own and stay spread
+    keyed = v.withColumn("token", F.when((F.col("verdict") == DOUBTFUL) & (F.col("token") != ""), F.col("token")).otherwise(F.concat(F.lit("\n"), F.col("id").cast("string"))))
+    found = salted_join(keyed, looked, ["token"], F.col("id"), "left", 4)
+    return found.select("id", "source", F.coalesce("cut", F.col("verdict") == CUT).alias("cut"))
 
 
 def truncated(df: DataFrame, id_col: str = "article_id", text_col: str = "content", source_col: str = "source", kind_col: str = "content_type") -> DataFrame:
