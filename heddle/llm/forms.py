@@ -152,6 +152,10 @@ def _forms(texts: list[str]) -> list[str]:
     result = list(texts)
     for i in dirty.tolist():
         result[i] = text[cuts[i] : cuts[i + 1]]
+    marks = ccc[out] > 0
+    stacked = out_row[1:][marks[1:] & marks[:-1] & (out_row[1:] == out_row[:-1])]
+    for i in np.unique(stacked).tolist():  # a mark may join its base over other marks; such stacks are rare
+        result[i] = ud.normalize("NFC", result[i])
     return result
 
 
