@@ -5,7 +5,8 @@ source share a mixture of readings: expectation-maximisation over the counts of
 (source, set of valid readings) gives each source its weights, from a prior at the
 catalogue's date order, and the posterior picks a value's reading. Values whose best
 posterior is not clear are marked. All parsing is in built-in expressions; the
-mixture works on counts, a few rows for each source.
+mixture works on counts, a few rows for each source. The session's time zone must be
+UTC, as the tables' is.
 """
 
 from __future__ import annotations

@@ -13,6 +13,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _instants(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")  # the tables' times are UTC, and so is the result
     cat = _t(spark, sf_dir, "source_catalog")
     a = _t(spark, sf_dir, "articles").select(F.lit("articles").alias("tab"), F.col("article_id").cast("long").alias("row_id"), "news_date", "source", "retrieved_at", "domain")
     url_host = F.regexp_extract("url", r"^[a-zA-Z]+://([^/:?#]+)", 1)
