@@ -9,10 +9,16 @@ from pyspark.sql import functions as F
 from ..sources.shared import shared_folder
 
 
-def first_of(df: DataFrame, keys: list[str | Column], order: list[str | Column]) -> DataFrame:
-    """One row a key, the first by order. Null keys are keys."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+def first_of(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
+    """One row a key, the first by ascending order, nulls first. Null keys are keys.
+
+    An aggregate, not a window: each task keeps one row a key before anything is
+    shuffled, so a key that holds most rows costs no more than another.
+    """
+    cols = [c for c in df.columns if c not in keys]
+    by = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*cols), by).alias("_first")) if cols else df.select(*keys).distinct()
+    return first.select(*[F.col(c) if c in keys else F.col("_first")[c].alias(c) for c in df.columns])
 
 
 def by_content(df: DataFrame, content: str, order: list[str]) -> DataFrame:
@@ -39,7 +45,7 @@ def event_clusters(df: DataFrame, title: str, content: str, week: str, order: li
 def longest_of(df: DataFrame, key: Column, text: str, order: list[str]) -> DataFrame:
     """The row with the longest text for each key, the first on a tie; blank and null keys are one key."""
     k = F.coalesce(F.trim(key), F.lit(""))
-    return first_of(df.withColumn("_k", k), ["_k"], [F.coalesce(F.length(text), F.lit(0)).desc(), *order]).drop("_k")
+    return first_of(df.withColumn("_k", k), ["_k"], [-F.coalesce(F.length(text), F.lit(0)), *order]).drop("_k")
 
 
 def statuses(df: DataFrame, hash_col: str, accepted: Column, order: list[str]) -> DataFrame:

@@ -46,12 +46,16 @@ def macro_f1(conf: DataFrame, least: int = 20) -> DataFrame:
     return n.join(F.broadcast(f)).select(F.when(F.col("n") >= least, F.col("f")).alias("macro_f1"), F.when(F.col("n") >= least, F.col("hit") / F.col("n")).alias("accuracy"), "n")
 
 
-def auroc(df: DataFrame, truth: str, score: str) -> DataFrame:
-    """(auroc): rank-sum form with ties at half; counts by score first, so equal scores are one row."""
-    g = df.filter((F.col(truth) >= 0) & F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum((F.col(truth) > 0).cast("long")).alias("p"), F.sum((F.col(truth) <= 0).cast("long")).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    x = g.withColumn("b", below)
-    return x.agg(F.try_divide(F.sum(F.col("p") * (F.col("b") + F.col("q") / 2)), F.sum("p") * F.sum("q")).alias("auroc"))
+def auroc(df: DataFrame, truth: str, score: str, buckets: int = 64) -> DataFrame:
+    """(auroc): rank-sum form with ties at half. Counts by score first, then running sums within score ranges and over the ranges."""
+    g = df.filter((F.col(truth) >= 0) & F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.sum((F.col(truth) > 0).cast("long")).alias("p"), F.sum((F.col(truth) <= 0).cast("long")).alias("q"))
+    cuts = g.agg(F.percentile_approx("s", [i / buckets for i in range(1, buckets)]).alias("cuts"))  # one row
+    x = g.join(F.broadcast(cuts)).withColumn("b", F.size(F.filter("cuts", lambda c: c < F.col("s")))).drop("cuts")
+    before = F.coalesce(F.sum("q").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = x.groupBy("b").agg(F.sum("q").alias("q")).select("b", before.alias("base"))  # one row a range
+    within = F.coalesce(F.sum("q").over(Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    y = x.withColumn("w", within).join(F.broadcast(base), "b")
+    return y.agg(F.try_divide(F.sum(F.col("p") * (F.col("base") + F.col("w") + F.col("q") / 2)), F.sum("p") * F.sum("q")).alias("auroc"))
 
 
 def balance_weights(df: DataFrame, label: str, lo: float = 0.2, hi: float = 5.0) -> DataFrame:
