@@ -28,8 +28,8 @@ def _keys(cols: dict[str, list]) -> dict[str, list]:
 def look_alike_pairs(df: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
     """(field, article_a, article_b), article_a < article_b: same consistent form, different as stored.
 
-    Null and empty texts, and texts whose form is empty, give nothing; texts that
-    differ in line ends alone count as equal. Classes in which all texts are stored
+    Null and empty texts give nothing; texts of invisible characters alone look alike;
+    texts that differ in line ends alone count as equal. Classes in which all texts are stored
     alike are dropped on counts before anything is joined, so exact copies cost
     nothing; within the rest rows meet by (form, stored variant), never by a collect.
     """
@@ -37,7 +37,7 @@ def look_alike_pairs(df: DataFrame, id_col: str, text_cols: list[str]) -> DataFr
     for c in text_cols:
         part = df.filter(has_text(F.col(c))).select(F.lit(c).alias("field"), F.col(id_col).cast("long").alias("id"), F.col(c).alias("text"))
         src = part if src is None else src.unionAll(part)
-    keys = arrow_map(src, "field string, id long, key binary, stored long", _keys).filter("length(key) = 16")
+    keys = arrow_map(src, "field string, id long, key binary, stored long", _keys)
     mixed = (
         keys.groupBy("field", "key").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).filter("lo <> hi").select("field", "key")
     )
