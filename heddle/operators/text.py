@@ -20,10 +20,13 @@ def positions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def lexicon_hits(docs: DataFrame, id_col: str, text_col: str, lexicon: DataFrame, negators: list[str], flips: dict[str, str]) -> DataFrame:
     """(id, word, grp, negated, tf): hits of a word list (word, grp); a word after a token that ends in a negator counts for the opposite group."""
-    t = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("ts"))
-    x = t.select("id", "ts", F.posexplode("ts").alias("pos", "word"))
-    before = F.when(F.col("pos") > 0, F.try_element_at("ts", F.col("pos")))
-    neg = F.coalesce(F.array(*[F.lit(n) for n in negators]).isNotNull() & F.exists(F.array(*[F.lit(n) for n in negators]), lambda n: F.endswith(before, n)), F.lit(False))
+    ts = tokens(F.col(text_col))
+    t = docs.select(F.col(id_col).alias("id"), ts.alias("ts"))
+    # each token with the one before it; the array itself is not copied to its rows
+    pairs = F.zip_with("ts", F.concat(F.array(F.lit("")), F.slice("ts", 1, F.greatest(F.size("ts") - 1, F.lit(0)))), lambda w, p: F.struct(w.alias("word"), p.alias("before")))
+    x = t.select("id", F.explode(pairs).alias("p")).select("id", "p.word", "p.before")
+    ends = F.array(*[F.lit(n) for n in negators])
+    neg = F.exists(ends, lambda n: F.endswith(F.coalesce(F.col("before"), F.lit("")), n)) if negators else F.lit(False)
     hit = x.select("id", "word", neg.alias("_neg")).join(lexicon, "word")
     flip = F.create_map(*[F.lit(v) for kv in flips.items() for v in kv]) if flips else None
     other = F.try_element_at(flip, F.col("grp")) if flips else F.lit(None).cast("string")
