@@ -419,9 +419,9 @@ def _(spark, d):
     return e.select("vec_id", M.argmax(F.col("e")).alias("best"), r6(F.array_max(M.softmax(F.col("e")))).alias("p"))
 
 
-@query("mth13_terms", "SELECT panel_id, round(L_GPUExposure * GCS, 6) AS inter, round(ar * ar, 6) AS sq, CAST(category = 'G1' AS INT) AS d1 FROM panel_daily")
+@query("mth13_terms", "SELECT panel_id, round(L_GPUExposure * GCS, 10) AS inter, round(ar * ar, 10) AS sq, CAST(category = 'G1' AS INT) AS d1 FROM panel_daily")
 def _(spark, d):
-    return table(spark, d, "panel_daily").select("panel_id", r6(F.col("L_GPUExposure") * F.col("GCS")).alias("inter"), r6(F.col("ar") * F.col("ar")).alias("sq"), (F.col("category") == "G1").cast("int").alias("d1"))
+    return table(spark, d, "panel_daily").select("panel_id", F.round(F.col("L_GPUExposure") * F.col("GCS"), 10).alias("inter"), F.round(F.col("ar") * F.col("ar"), 10).alias("sq"), (F.col("category") == "G1").cast("int").alias("d1"))
 
 
 @query("mth14_logs", "SELECT s_suppkey, round(CASE WHEN s_acctbal > 0 THEN ln(s_acctbal) END, 6) AS l, round(ln(1 + abs(s_acctbal)), 6) AS l1 FROM supplier")
