@@ -713,7 +713,7 @@ def _(spark, d):
     return spark.createDataFrame([(int(a), int(b), float(h)) for a, b, h in E.average_linkage(m)], "a int, b int, height double")
 
 
-@query("eco25_topic_index", f"WITH {NOTES}, t AS (SELECT source, strftime(date, '%Y-%m') AS bucket, count(*) AS n, ln(1 + avg(length(body))) AS v FROM notes WHERE date IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2), c AS (SELECT *, sum(n) OVER (PARTITION BY source) AS total FROM t) SELECT source, bucket, n, round(CASE WHEN count(v) OVER w >= 6 AND stddev_samp(v) OVER w > 1e-6 THEN greatest(-6, least(6, (v - avg(v) OVER w) / stddev_samp(v) OVER w)) END, 5) AS z FROM c WHERE total >= 20 WINDOW w AS (PARTITION BY source ORDER BY bucket ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)")
+@query("eco25_topic_index", f"WITH {NOTES}, t AS (SELECT source, strftime(date, '%Y-%m') AS bucket, count(*) AS n, ln(1 + avg(length(body))) AS v FROM notes WHERE date IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2), c AS (SELECT *, sum(n) OVER (PARTITION BY source) AS total FROM t) SELECT source, bucket, n, round(CASE WHEN v IS NOT NULL AND count(v) OVER w >= 6 AND stddev_samp(v) OVER w > 1e-6 THEN greatest(-6, least(6, (v - avg(v) OVER w) / stddev_samp(v) OVER w)) END, 5) AS z FROM c WHERE total >= 20 WINDOW w AS (PARTITION BY source ORDER BY bucket ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)")
 def _(spark, d):
     g = notes(spark, d).filter("date is not null and source is not null").groupBy("source", D.month_key(F.col("date")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.log1p(F.avg(F.length("body"))).alias("v"))
     c = g.withColumn("total", F.sum("n").over(W.partitionBy("source"))).filter("total >= 20")
