@@ -74,6 +74,8 @@ def judge(story: list[str], text: str, kind: str | None) -> tuple[int, str]:
         return CUT, ""
     if bullet:
         return (WHOLE, "") if re.search(r"[\d%)]$", last) else (DOUBTFUL, final_token(last))
+    if last.count("(") > last.count(")") or re.search(r"[、，,;；:：–—-]$", last):
+        return CUT, ""
     if len(last) > 80 or re.search(r"[。，,;；“「『«„]|: [a-z]|[.!?] ", last):
         return CUT, ""
     if re.search(r"[\d%]$", last):

@@ -102,7 +102,7 @@ def test_without_lines(spark):
         ("第一句话。第二句话没有说", "fulltext", True), ("第一句话。第二句话说完了。", "fulltext", False), ("说完了。\n责任编辑:某某", "fulltext", False), ("没有说完的句子,还\n责任编辑:某某", "fulltext", True),
         ("The first part ended. Then it was rai", "fulltext", True), ("All is said.\n(ends)", "fulltext", False), ("All is said.\n• Gross margin at X: 5.1 percent", "fulltext", False), ("Said.\n(X declined to comment on Y)", "fulltext", False),
         ("Said.\nHow X responds, only time will tell...", "fulltext", False), ("由于电价调整,平旻数据港把...", "fulltext", True), ("合同自7月起生效。首轮验证通过后<p cl", "fulltext", True), ("合同生效。考虑到上游&nb", "fulltext", True), ("合同生效。考虑到上游涨价[+605 chars]", "fulltext", True),
-        ("合同生效。考虑到�", "fulltext", True), ("句子说完了。" * 10 + "还有", "db_field_186", True), ("他说:“说完了。”", "fulltext", False), ("谁在抢购X的QL-70", "fulltext", False), ("", None, False), (None, None, False),
+        ("合同生效。考虑到�", "fulltext", True), ("句子说完了。" * 10 + "还有", "db_field_186", True), ("他说:“说完了。”", "fulltext", False), ("句子说完了。\n承建方披露毛利率(详见www.1-lab.example/p.html?v", "fulltext", True), ("句子说完了。\n決算資料によると、", "fulltext", True), ("谁在抢购X的QL-70", "fulltext", False), ("", None, False), (None, None, False),
     ],
 )
 def test_cut(spark, text, kind, cut):
