@@ -229,10 +229,10 @@ def _(spark, d):
     return attention(spark, d).withColumn("p", F.lag("value").over(W.orderBy("bucket"))).agg(r6(F.corr("value", "p")).alias("r"))
 
 
-@query("agg14_pivot", f"WITH {PANEL} SELECT strftime(date, '%Y-%m') AS month, round(avg(ar) FILTER (category = 'G1'), 6) AS g1, round(avg(ar) FILTER (category = 'G2'), 6) AS g2 FROM panel GROUP BY 1")
+@query("agg14_pivot", f"WITH {PANEL} SELECT strftime(date, '%Y-%m') AS month, round(avg(ar) FILTER (category = 'G1'), 9) AS g1, round(avg(ar) FILTER (category = 'G2'), 9) AS g2 FROM panel GROUP BY 1")
 def _(spark, d):
     p = panel(spark, d).groupBy(D.month_key(F.col("date")).alias("month")).pivot("category", ["G1", "G2"]).agg(F.avg("ar"))
-    return p.select("month", r6(F.col("G1")).alias("g1"), r6(F.col("G2")).alias("g2"))
+    return p.select("month", F.round("G1", 9).alias("g1"), F.round("G2", 9).alias("g2"))
 
 
 @query("agg15_class_weights", "SELECT label, count(*) AS n, round(greatest(0.2, least(5.0, sum(count(*)) OVER () / (count(*) OVER () * count(*)))), 6) AS weight FROM embeddings GROUP BY label")
