@@ -27,11 +27,18 @@ from .pages import arrow_map, has_text, salted_join, signed
 
 LONGEST_RUN = 8  # line tokens compared by the suffix array
 LEAST_STORIES = 5  # different stories of a host that share a run
-LEAST_SHARE = 0.02  # and their share of the host's stories
 MOST_INSIDE = 0.1  # share of a run's places where a story goes on
 SHARDS = 32
 
 
+PREFIX = re.compile(r"^(www|m|news)\.(?=.*\.)")
+
+
+def home(host: str | None) -> str:
+    """The host that a domain belongs to: without www., m. or news. before it; a null domain is a host of its own."""
+    return PREFIX.sub("", (host or "").strip().lower(), count=1)
+
+
 def _h(x: str) -> int:
     return signed(xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")))
 
@@ -40,7 +47,7 @@ def _analysed(cols: dict[str, list]) -> Iterator[tuple]:
     for i, host, form in zip(cols["id"], cols["host"], consistent_forms(cols["text"])):
         if form:
             lines = [x.strip() for x in form.split("\n")]
-            yield i, host or "", lines, roles(lines)
+            yield i, home(host), lines, roles(lines)
 
 
 def undecided(line: str) -> bool:
@@ -190,15 +197,12 @@ def host_runs(df: DataFrame, id_col: str, text_col: str, host_col: str) -> DataF
     streams = arrow_map(src, "host long, story long, tokens array<long>", _streams)
     parts = streams.repartition(F.col("host"), F.pmod("story", F.lit(SHARDS))).select("host", "story", "tokens")
     sup = parts.mapInArrow(_supports, "host long, token long, stories long, places long, inside long, run long")
-    total = sup.groupBy("host", "token").agg(F.sum("stories").alias("stories"), F.sum("places").alias("places"), F.sum("inside").alias("inside"), F.max("run").alias("run"))
-    pages = df.filter(has_text(F.col(text_col))).groupBy(F.col(host_col).alias("name")).agg(F.count(F.lit(1)).alias("pages"))
-    pages = arrow_map(pages, "host long, pages long", lambda c: {"host": [_h(x or "") for x in c["name"]], "pages": c["pages"]}).groupBy("host").agg(F.sum("pages").alias("pages"))
-    return total.join(pages, "host")
+    return sup.groupBy("host", "token").agg(F.sum("stories").alias("stories"), F.sum("places").alias("places"), F.sum("inside").alias("inside"), F.max("run").alias("run"))
 
 
 def furniture_tokens(runs: DataFrame) -> DataFrame:
     """(token): runs with a cue, and runs that enough stories of a host share at places where no story goes on."""
-    often = (F.col("stories") >= LEAST_STORIES) & (F.col("stories") >= LEAST_SHARE * F.col("pages")) & (F.col("inside") < MOST_INSIDE * F.col("places"))
+    often = (F.col("stories") >= LEAST_STORIES) & (F.col("inside") < MOST_INSIDE * F.col("places"))
     return runs.filter((F.col("token").bitwiseAND(F.lit(1)) == 1) | often).select("token")
 
 

@@ -122,3 +122,11 @@ def test_trie():
     t = T.Trie(["foundry", "found", "rack"])
     assert t.known("found") == (True, True) and t.known("foun") == (False, True) and t.known("rack") == (True, False) and t.known("x") == (False, False)
     assert isinstance(T._look_up(None, pd.DataFrame({"id": [1], "token": ["rac"]}), pd.DataFrame({"word": ["rack"]})), pd.DataFrame)
+
+
+def test_furniture_of_a_large_host_needs_no_share_of_its_pages(spark):
+    hosts = ["www.a.example", "m.a.example", "news.a.example", "a.example"]
+    page = lambda i: f"Story number {i} goes on for quite a while and says something new about item {i * 7}.\nIt is number {i} that counts, and it ends here."
+    rows = [(i, hosts[i % 4], "s", page(i) + ("\nFleebed by gromit" if i < 8 else ""), "fulltext") for i in range(600)]
+    got = {(r.article_id, r.line_no) for r in B.furniture_lines(frame(spark, rows), "article_id", "content", "domain").collect()}
+    assert got == {(i, 2) for i in range(8)}
