@@ -1,13 +1,13 @@
 """Problem 1: page furniture and main body.
 
 The pages of a host are concatenated as streams of line tokens. Within shards of a
-host (split by story, so that a host of any size is spread and distinct stories
-add up over shards) a suffix array over the streams gives the runs of the host; the
-shards' supports are added by run. Runs that many different stories of a host share,
-at places where no story goes on, are furniture. Lines whose own words name their role
-(cues) enter the streams by what they have in common from page to page, so link lists,
-counters and bylines are runs too, and are furniture however few pages a host has.
-What no run covers is the body.
+host (split by page, so that a host of any size is spread and pages add up over
+shards) a suffix array over the streams gives the repeated lines; the shards'
+supports are added, and the different stories among the pages are counted. Unbroken sequences of repeated lines are the runs of a
+page, and runs that many different stories of a host share, at places where no story
+goes on, are furniture. Lines whose own
+words name their role (cues) are furniture however few pages a host has, and belong to
+the runs beside them. What no run covers is the body.
 """
 
 from __future__ import annotations
@@ -18,9 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
 from .forms import consistent_forms
 from .furniture import BULLET, CUES, END_LINE, LINK_MARK, SENTENCE_END, roles
 from .pages import arrow_map, has_text, salted_join, signed
@@ -28,6 +29,7 @@ from .pages import arrow_map, has_text, salted_join, signed
 LONGEST_RUN = 8  # line tokens compared by the suffix array
 LEAST_STORIES = 5  # different stories of a host that share a run
 MOST_INSIDE = 0.1  # share of a run's places where a story goes on
+KEYS = 4  # lines of a page by which its story is known
 SHARDS = 32
 
 
@@ -50,11 +52,11 @@ def _analysed(cols: dict[str, list]) -> Iterator[tuple]:
             yield i, home(host), lines, roles(lines)
 
 
-def undecided(line: str) -> bool:
-    """A line that only repetition can tell: no sentence, list item, closing mark, closing remark in brackets or trailing question."""
+def of_story(line: str) -> bool:
+    """A line that repetition cannot tell: a sentence, list item, closing mark, closing remark in brackets or trailing question."""
     if len(line) > 200 or BULLET.match(line) or END_LINE.match(line) or line.endswith("...") or (line.startswith("(") and line.endswith(")")):
-        return False
-    return not (len(line) > 60 and SENTENCE_END.search(line))
+        return True
+    return bool(len(line) > 60 and SENTENCE_END.search(line))
 
 
 LINK_CUE = re.compile(CUES["links"][0])
@@ -72,36 +74,34 @@ def abstract(line: str) -> str:
 
 
 def line_token(host: str, line: str, role: int) -> int:
-    """The token of a line within its host: STORY_TOKEN for the story, odd for a line with a cue, even for an undecided one."""
+    """The token of a line within its host: STORY_TOKEN for what is the story's by definition, odd for a line with a cue, even for any other."""
     if role:
         return _h(host + "\n\x00" + abstract(line)) | 1
-    return _h(host + "\n" + line) & ~1 if undecided(line) else STORY_TOKEN
+    return STORY_TOKEN if of_story(line) else _h(host + "\n" + line) & ~1
 
 
 def _line_rows(cols: dict[str, list]) -> dict[str, list]:
-    out: dict[str, list] = {"id": [], "line_no": [], "token": []}
+    """Each line with a token: its place among the n non-blank lines of its page, whether it has a cue, and the longest other lines, by which the story is known."""
+    out: dict[str, list] = {"id": [], "line_no": [], "token": [], "place": [], "n": [], "cue": [], "keys": []}
     for i, host, lines, kinds in _analysed(cols):
-        for k, (x, r) in enumerate(zip(lines, kinds)):
-            if x and (t := line_token(host, x, r)) != STORY_TOKEN:
-                out["id"].append(i)
-                out["line_no"].append(k)
-                out["token"].append(t)
+        full = [(k, x, r) for k, (x, r) in enumerate(zip(lines, kinds)) if x]
+        longest = [(x, _h(x)) for x in sorted({x for _, x, r in full if not r}, key=lambda x: (-len(x), x))[: KEYS + 1]]
+        for place, (k, x, r) in enumerate(full):
+            if (t := line_token(host, x, r)) != STORY_TOKEN:
+                keys = None if r else [h for y, h in longest if y != x][:KEYS]
+                for name, v in (("id", i), ("line_no", k), ("token", t), ("place", place), ("n", len(full)), ("cue", bool(r)), ("keys", keys)):
+                    out[name].append(v)
     return out
 
 
 def _streams(cols: dict[str, list]) -> dict[str, list]:
-    """Token streams of the pages that hold anything but story."""
-    out: dict[str, list] = {"host": [], "story": [], "tokens": []}
-    for _, host, lines, kinds in _analysed(cols):
-        toks, longest = [], ""
-        for x, r in zip(lines, kinds):
-            if x:
-                toks.append(line_token(host, x, r))
-                if not r and len(x) > len(longest):
-                    longest = x
+    """Token streams of the pages."""
+    out: dict[str, list] = {"id": [], "host": [], "tokens": []}
+    for i, host, lines, kinds in _analysed(cols):
+        toks = [line_token(host, x, r) for x, r in zip(lines, kinds) if x]
         if any(toks):
+            out["id"].append(i)
             out["host"].append(_h(host))
-            out["story"].append(_h(longest))
             out["tokens"].append(toks)
     return out
 
@@ -147,63 +147,54 @@ def suffix_runs(tokens: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _supports(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For the shards of this partition: each run's token with its stories, places and places inside a story."""
-    host, story, tokens = [], [], []
-    for b in batches:
-        host += b.column(0).to_pylist()
-        story += b.column(1).to_pylist()
-        tokens += b.column(2).to_pylist()
+    """For the shards of this partition: each token that begins a run, with the pages that hold it."""
+    tokens = [t for b in batches for t in b.column(0).to_pylist()]
     if not tokens:
         return
-    lens = np.fromiter(map(len, tokens), np.int64, len(tokens))
     flat = np.concatenate([np.array(t, np.int64) for t in tokens])
-    page = np.repeat(np.arange(len(tokens)), lens)
-    keys = np.repeat(np.array(story, np.int64), lens)
-    hosts = np.repeat(np.array(host, np.int64), lens)
+    page = np.repeat(np.arange(len(tokens)), np.fromiter(map(len, tokens), np.int64, len(tokens)))
     order, lcp = suffix_runs(flat, page)
-    # a token is covered by repeats where a neighbour in the array shares its first line
-    head = flat[order]
-    cuts = np.flatnonzero(np.concatenate(([True], lcp[1:] < 1)))
-    prev0 = np.concatenate(([1], flat[:-1])) == 0
-    next0 = np.concatenate((flat[1:], [1])) == 0
-    first = np.concatenate(([True], page[1:] != page[:-1]))
-    last = np.concatenate((first[1:], [True]))
-    inside = next0 & ~last & prev0 & ~first
-    longest = np.maximum(lcp, np.concatenate((lcp[1:], [0])))
-    ins = inside[order].astype(np.int64)
-    skeys = keys[order]
-    block = np.cumsum(np.concatenate(([True], lcp[1:] < 1))) - 1
-    pair = np.unique(np.stack([block, skeys]), axis=1)
-    stories = np.bincount(pair[0], minlength=len(cuts))
-    t = head[cuts]
+    # suffixes whose neighbours share their first line begin the same run
+    fresh = np.concatenate(([True], lcp[1:] < 1))
+    cuts, block = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+    pages = np.bincount(np.unique(np.stack([block, page[order]]), axis=1)[0], minlength=len(cuts))
+    t = flat[order][cuts]
     keep = t != STORY_TOKEN
-    schema = pa.schema([("host", pa.int64()), ("token", pa.int64()), ("stories", pa.int64()), ("places", pa.int64()), ("inside", pa.int64()), ("run", pa.int64())])
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array(hosts[order][cuts][keep]),
-            pa.array(t[keep]),
-            pa.array(stories[keep].astype(np.int64)),
-            pa.array(np.bincount(block, minlength=len(cuts))[keep].astype(np.int64)),
-            pa.array(np.add.reduceat(ins, cuts)[keep]),
-            pa.array(np.maximum.reduceat(longest, cuts)[keep]),
-        ],
-        schema=schema,
-    )
+    yield pa.RecordBatch.from_arrays([pa.array(t[keep]), pa.array(pages[keep].astype(np.int64))], names=["token", "pages"])
 
 
 def host_runs(df: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """(host, token, stories, places, inside, run): what the suffix arrays of all shards say of each token that is no story."""
-    src = df.filter(has_text(F.col(text_col))).select(F.col(id_col).cast("long").alias("id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
-    streams = arrow_map(src, "host long, story long, tokens array<long>", _streams)
-    parts = streams.repartition(F.col("host"), F.pmod("story", F.lit(SHARDS))).select("host", "story", "tokens")
-    sup = parts.mapInArrow(_supports, "host long, token long, stories long, places long, inside long, run long")
-    return sup.groupBy("host", "token").agg(F.sum("stories").alias("stories"), F.sum("places").alias("places"), F.sum("inside").alias("inside"), F.max("run").alias("run"))
-
+    """(id, line_no, token, cue, inside): the lines of each page that lie in runs of repeated lines.
 
-def furniture_tokens(runs: DataFrame) -> DataFrame:
-    """(token): runs with a cue, and runs that enough stories of a host share at places where no story goes on."""
-    often = (F.col("stories") >= LEAST_STORIES) & (F.col("inside") < MOST_INSIDE * F.col("places"))
-    return runs.filter((F.col("token").bitwiseAND(F.lit(1)) == 1) | often).select("token")
+    A line is repeated that enough different stories of a host share. A run is an unbroken sequence of repeated lines and
+    lines with a cue. It is inside a story where neither a line with a cue nor an edge of the page belongs to it.
+    """
+    src = df.filter(has_text(F.col(text_col))).select(F.col(id_col).cast("long").alias("id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
+    streams = arrow_map(src, "id long, host long, tokens array<long>", _streams)
+    parts = streams.repartition(F.col("host"), F.pmod("id", F.lit(SHARDS))).select("tokens")
+    sup = parts.mapInArrow(_supports, "token long, pages long").groupBy("token").agg(F.sum("pages").alias("pages"))
+    often = sup.filter((F.col("token").bitwiseAND(F.lit(1)) == 1) | (F.col("pages") >= LEAST_STORIES)).select("token")
+    rows = arrow_map(src, "id long, line_no int, token long, place int, n int, cue boolean, keys array<long>", _line_rows)
+    path = shared_folder(df.sparkSession)
+    salted_join(rows, often, ["token"], F.col("id")).write.parquet(path)
+    hit = df.sparkSession.read.parquet(path)
+
+    # copies agree in most of their longest lines, and furniture may be one of them: the key that tells most stories counts
+    known = hit.filter("not cue").select("token", F.posexplode("keys").alias("k", "story")).distinct().groupBy("token", "k").agg(F.count(F.lit(1)).alias("stories"))
+    shared = known.filter(F.col("stories") >= LEAST_STORIES).select("token").distinct()
+    cols = ["id", "line_no", "token", "place", "n", "cue"]
+    lines = hit.filter("cue").select(*cols).unionAll(salted_join(hit.filter("not cue").select(*cols), shared, ["token"], F.col("id")).select(*cols))
+    run = F.col("place") - F.row_number().over(Window.partitionBy("id").orderBy("place"))
+    whole = Window.partitionBy("id", "run")
+    open_run = F.max("cue").over(whole) | (F.min("place").over(whole) == 0) | (F.max("place").over(whole) == F.col("n") - 1)
+    return lines.withColumn("run", run).select("id", "line_no", "token", "cue", (~open_run).alias("inside"))
+
+
+def _repeated(lines: DataFrame) -> DataFrame:
+    """(id, line_no) of the lines without a cue whose runs stand inside a story at few of their places."""
+    lines = lines.filter("not cue")
+    seldom = lines.groupBy("token").agg(F.avg(F.col("inside").cast("double")).alias("share")).filter(F.col("share") < MOST_INSIDE)
+    return salted_join(lines, seldom.select("token"), ["token"], F.col("id")).select("id", "line_no")
 
 
 def furniture_lines(df: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
@@ -211,10 +202,8 @@ def furniture_lines(df: DataFrame, id_col: str, text_col: str, host_col: str) ->
 
     Null and empty contents give nothing; a null host counts as one host. Ids must be unique.
     """
-    src = df.filter(has_text(F.col(text_col))).select(F.col(id_col).cast("long").alias("id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
-    rows = arrow_map(src, "id long, line_no int, token long", _line_rows)
-    hit = salted_join(rows, furniture_tokens(host_runs(df, id_col, text_col, host_col)), ["token"], F.col("id"))
-    return hit.select(F.col("id").alias("article_id"), "line_no")
+    lines = host_runs(df, id_col, text_col, host_col)
+    return lines.filter("cue").select("id", "line_no").unionAll(_repeated(lines)).select(F.col("id").alias("article_id"), "line_no")
 
 
 def _bodies(cols: dict[str, list]) -> dict[str, list]:

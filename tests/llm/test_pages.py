@@ -130,3 +130,8 @@ def test_furniture_of_a_large_host_needs_no_share_of_its_pages(spark):
     rows = [(i, hosts[i % 4], "s", page(i) + ("\nFleebed by gromit" if i < 8 else ""), "fulltext") for i in range(600)]
     got = {(r.article_id, r.line_no) for r in B.furniture_lines(frame(spark, rows), "article_id", "content", "domain").collect()}
     assert got == {(i, 2) for i in range(8)}
+
+
+def test_a_repeated_line_between_story_lines_is_no_furniture(spark):
+    rows = [(i, "a.example", "s", f"Story number {i} goes on and says something new about item {i * 7}.\nItem {i} in short\nA stock subhead\nItem {i * 3} at length\nA second paragraph of story {i} follows here and ends well.", "fulltext") for i in range(20)]
+    assert B.furniture_lines(frame(spark, rows), "article_id", "content", "domain").count() == 0
