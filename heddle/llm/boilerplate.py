@@ -5,7 +5,7 @@ host (split by page, so that a host of any size is spread and pages add up over
 shards) a suffix array over the streams gives the repeated lines; the shards'
 supports are added, and the different stories among the pages are counted. Unbroken sequences of repeated lines are the runs of a
 page, and runs that many different stories of a host share, at places where no story
-goes on, are furniture. Lines whose own
+goes on, are furniture, whatever the length and end of their lines. Lines whose own
 words name their role (cues) are furniture however few pages a host has, and belong to
 the runs beside them. What no run covers is the body.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import shared_folder
 from .forms import consistent_forms
-from .furniture import BULLET, CUES, END_LINE, LINK_MARK, SENTENCE_END, roles
+from .furniture import CUES, END_LINE, LINK_MARK, roles
 from .pages import arrow_map, has_text, salted_join, signed
 
 LONGEST_RUN = 8  # line tokens compared by the suffix array
@@ -52,11 +52,15 @@ def _analysed(cols: dict[str, list]) -> Iterator[tuple]:
             yield i, home(host), lines, roles(lines)
 
 
+# Closing remarks of stories that name the next report, which many stories share word for word.
+CLOSING = re.compile(r"(后续|接下来|未来|至于|How |What |Whether |Who |When |Why |Will |Wie |Was |Ob |Wer |今後|果たして|Cómo |Comment )[^。.!?;]{1,100}(\.\.\.|…)+$")
+# Closing remarks in brackets, that a party gave no comment.
+NO_COMMENT = re.compile(r"\(.{2,60}(不予置评|未予置评|未作回应|declined to comment|did not comment|コメントを控え|コメントしていない|keine Stellungnahme|keinen Kommentar|nicht äußern).{0,60}\)$")
+
+
 def of_story(line: str) -> bool:
-    """A line that repetition cannot tell: a sentence, list item, closing mark, closing remark in brackets or trailing question."""
-    if len(line) > 200 or BULLET.match(line) or END_LINE.match(line) or line.endswith("...") or (line.startswith("(") and line.endswith(")")):
-        return True
-    return bool(len(line) > 60 and SENTENCE_END.search(line))
+    """A line that is the story's however often it stands: its end mark, its closing question or remark."""
+    return bool(END_LINE.match(line) or CLOSING.match(line) or NO_COMMENT.match(line))
 
 
 LINK_CUE = re.compile(CUES["links"][0])

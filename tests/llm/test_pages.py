@@ -135,3 +135,14 @@ def test_furniture_of_a_large_host_needs_no_share_of_its_pages(spark):
 def test_a_repeated_line_between_story_lines_is_no_furniture(spark):
     rows = [(i, "a.example", "s", f"Story number {i} goes on and says something new about item {i * 7}.\nItem {i} in short\nA stock subhead\nItem {i * 3} at length\nA second paragraph of story {i} follows here and ends well.", "fulltext") for i in range(20)]
     assert B.furniture_lines(frame(spark, rows), "article_id", "content", "domain").count() == 0
+
+
+def test_long_and_closed_furniture_lines_are_found_by_repetition(spark):
+    notice = "The operator of these pages processes what visitors enter and keeps it in the registers named below, for as long as the rules of the registry demand, and hands it to nobody but the offices that oversee the registry."
+    tail = [notice, "All texts stay the property of the house and of those who wrote them for it.", "(zorb flim quux)", "• Fleebed by gromit"]
+    rows = []
+    for i in range(20):
+        story = [f"Story number {i} goes on and says something new about item {i * 7}.", "A stock subhead", f"A second paragraph of story {i} follows here and ends well."]
+        rows.append((i, "a.example", "s", "\n".join(story + tail), "fulltext"))
+    got = {(r.article_id, r.line_no) for r in B.furniture_lines(frame(spark, rows), "article_id", "content", "domain").collect()}
+    assert got == {(i, k) for i in range(20) for k in (3, 4, 5, 6)}
