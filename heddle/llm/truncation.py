@@ -144,7 +144,8 @@ def _look_up(key, tokens, words):
 
     trie = Trie(words["word"])
     known = [trie.known(t) for t in tokens["token"]]
-    return pd.DataFrame({"token": tokens["token"], "cut": [not k for k, _ in known]})
+    # in scripts without spaces tokens and words are two characters, so none is a prefix: there an unknown ending was cut
+    return pd.DataFrame({"token": tokens["token"], "cut": [not k and (part or bool(HAN.match(t[-1:]))) for (k, part), t in zip(known, tokens["token"])]})
 
 
 def judged(df: DataFrame, id_col: str, text_col: str, source_col: str, kind_col: str) -> DataFrame:

@@ -146,3 +146,9 @@ def test_long_and_closed_furniture_lines_are_found_by_repetition(spark):
         rows.append((i, "a.example", "s", "\n".join(story + tail), "fulltext"))
     got = {(r.article_id, r.line_no) for r in B.furniture_lines(frame(spark, rows), "article_id", "content", "domain").collect()}
     assert got == {(i, k) for i in range(20) for k in (3, 4, 5, 6)}
+
+
+def test_an_unknown_word_that_begins_no_known_one_is_whole(spark):
+    whole = [(10 + i, "d", "s", f"Inside the ledger\nThe foundry raised output by {i}. Packaging went on.\nIt ended there.", "fulltext") for i in range(6)]
+    rows = [*whole, (1, "d", "s", "It ended.\n• Racks shipped to Quorvex", "fulltext"), (2, "d", "s", "It ended.\n• Racks shipped to Packag", "fulltext")]
+    assert {r.article_id for r in T.truncated(frame(spark, rows)).collect()} == {2}
