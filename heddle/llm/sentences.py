@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pages import has_text
+from .pages import arrow_map, has_text
 
 # Abbreviations that stand before the word they belong to, so that they end no sentence.
 LEADING = frozenset(
@@ -330,6 +330,22 @@ def segment(text: str | None, corpus: frozenset[str] | set[str] = frozenset()) -
     return out
 
 
+def asked(text: str) -> set[str]:
+    """Every corpus word that segment can ask for in a text: what stands before and after its marks."""
+    out: set[str] = set()
+    for low, high in _blocks(text):
+        for m in EVENT.finditer(text, low, high):
+            nxt = m.end()
+            while nxt < high and text[nxt] in CLOSERS and text[nxt] not in "“'’(" and text[nxt] not in CLOSE_OF:
+                nxt += 1
+            while nxt < high and text[nxt].isspace():
+                nxt += 1
+            out.add("a\t" + _word_before(text, m.start(), low))
+            if w := LATIN_WORD.match(text, nxt):
+                out.add("s\t" + w[0])
+    return out
+
+
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words: with a period before a lower-case word, with one before a capital, at sure starts, and capitalised inside."""
     names = ["word", "low", "cap", "start", "mid"]
@@ -397,8 +413,7 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     if len(words) <= LIMIT:
         shared = docs.sparkSession.sparkContext.broadcast(frozenset(words))
         return src.mapInArrow(_segmenter(shared), schema)
-    tokens = src.select("id", F.explode(F.array_distinct(F.expr(r"regexp_extract_all(text, '(\\p{L}[\\p{L}.]*)', 1)"))).alias("w")).withColumn("w", F.regexp_replace("w", r"\.$", ""))
-    keyed = tokens.select("id", F.explode(F.array(F.concat(F.lit("a\t"), "w"), F.concat(F.lit("s\t"), "w"))).alias("word"))
+    keyed = arrow_map(src, "id long, words array<string>", lambda c: {"id": c["id"], "words": [sorted(asked(x)) for x in c["text"]]}).select("id", F.explode("words").alias("word"))
     own = keyed.join(known, "word", "left_semi").groupBy("id").agg(F.collect_set("word").alias("own"))
     return src.join(own, "id", "left").select("id", "text", "own").mapInArrow(_segmenter(None), schema)
 

@@ -82,3 +82,28 @@ def test_many_corpus_words_go_by_a_join(spark, monkeypatch):
     want = sorted(map(tuple, S.sentences(df).collect()))
     monkeypatch.setattr(S, "LIMIT", 0)
     assert sorted(map(tuple, S.sentences(df).collect())) == want
+
+
+def test_both_branches_agree_on_missing_spaces(spark, monkeypatch):
+    from heddle.llm import sentences as S
+
+    texts = ["It was bought by Rook Inc.Under a plan it went on.", "It met the Corpo. Under’s plan.Then Corpo. Rook left.", "He left “Rook Inc.” Under a plan.It ended."]
+    df = spark.createDataFrame([(i, texts[i] if i < 3 else "The Corpo. said it.\nUnder a plan it ended.\nUnder’s it.") for i in range(30)], "doc_id long, text string")
+    want = sorted(map(tuple, S.sentences(df).collect()))
+    assert (0, 0, 26) in want
+    monkeypatch.setattr(S, "LIMIT", 0)
+    assert sorted(map(tuple, S.sentences(df).collect())) == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from("abIncThe. A!?\n”“’«»()「」。5-"), max_size=60))
+def test_every_corpus_word_that_is_asked_for_is_listed(text):
+    from heddle.llm import sentences as S
+
+    class Known(set):
+        def __contains__(self, w):
+            assert w in keys
+            return w.startswith(("a", "s"))
+
+    keys = S.asked(text)
+    segment(text, Known())
