@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import shared_folder
 from .forms import consistent_forms
 from .furniture import CUES, END_LINE, LINK_MARK, roles
-from .pages import arrow_map, has_text, salted_join, signed
+from .pages import arrow_map, has_text, page_lines, salted_join, signed
 
 LONGEST_RUN = 8  # line tokens compared by the suffix array
 LEAST_STORIES = 5  # different stories of a host that share a run
@@ -210,10 +210,20 @@ def furniture_lines(df: DataFrame, id_col: str, text_col: str, host_col: str) ->
     return lines.filter("cue").select("id", "line_no").unionAll(_repeated(lines)).select(F.col("id").alias("article_id"), "line_no")
 
 
+def with_repeated(src: DataFrame, df: DataFrame, id_col: str, text_col: str, host_col: str | None) -> DataFrame:
+    """src, which has an id, and in gone the numbers of the furniture lines that repetition tells; without a host column gone is null."""
+    if host_col is None:
+        return src.withColumn("gone", F.lit(None).cast("array<int>"))
+    path = shared_folder(df.sparkSession)  # as a table its size is known: texts move only where it is large
+    _repeated(host_runs(df, id_col, text_col, host_col)).groupBy("id").agg(F.collect_set("line_no").alias("gone")).write.parquet(path)
+    return src.join(df.sparkSession.read.parquet(path), "id", "left")
+
+
 def _bodies(cols: dict[str, list]) -> dict[str, list]:
-    return {"id": cols["id"], "body": ["\n".join(x for x, r in zip(f.split("\n"), roles(f.split("\n"))) if not r) if f else f for f in consistent_forms(cols["text"])]}
+    return {"id": cols["id"], "body": ["\n".join(x for x, r in zip(lines, kinds) if not r) if lines else t for (lines, kinds), t in zip(page_lines(cols["text"], cols["gone"]), cols["text"])]}
 
 
-def main_bodies(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, body): the story lines of each content by cues alone, in the consistent form."""
-    return arrow_map(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id long, body string", _bodies)
+def main_bodies(df: DataFrame, id_col: str, text_col: str, host_col: str | None = None) -> DataFrame:
+    """(id, body): the story lines of each content in the consistent form; by cues alone without a host column."""
+    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return arrow_map(with_repeated(src, df, id_col, text_col, host_col), "id long, body string", _bodies)

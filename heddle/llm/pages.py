@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .forms import consistent_forms
-from .furniture import roles
+from .furniture import FURNITURE, roles
 
 MASK64 = (1 << 64) - 1
 
@@ -35,14 +35,17 @@ def arrow_map(df: DataFrame, schema: str, rows: Callable[[dict[str, list]], dict
     return df.mapInArrow(run, schema)
 
 
-def page_lines(contents: list[str | None]) -> Iterator[tuple[list[str], list[int]]]:
-    """Lines in the consistent form and their roles, for each content; a null or empty content has no lines."""
-    for x in consistent_forms(contents):
+def page_lines(contents: list[str | None], gone: list[list[int] | None] | None = None) -> Iterator[tuple[list[str], list[int]]]:
+    """Lines in the consistent form and their roles, for each content; the lines numbered in gone are furniture. A null or empty content has no lines."""
+    for x, out in zip(consistent_forms(contents), gone or [None] * len(contents)):
         if not x:
             yield [], []
             continue
         lines = x.split("\n")
-        yield lines, roles(lines)
+        kinds = roles(lines)
+        for k in out or ():
+            kinds[k] = FURNITURE
+        yield lines, kinds
 
 
 def main_body(lines: list[str], kinds: list[int]) -> str:

@@ -16,19 +16,19 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_pairs(_t(spark, sf_dir, "articles"), "article_id", "content")
+    return near_dup.near_pairs(_t(spark, sf_dir, "articles"), "article_id", "content", host_col="domain")
 
 
 def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_classes(_t(spark, sf_dir, "articles"), "article_id", "content")
+    return near_dup.near_classes(_t(spark, sf_dir, "articles"), "article_id", "content", host_col="domain")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation.truncated(_t(spark, sf_dir, "articles"))
+    return truncation.truncated(_t(spark, sf_dir, "articles"), host_col="domain")
 
 
 def p3_share_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation.share_by_source(_t(spark, sf_dir, "articles"))
+    return truncation.share_by_source(_t(spark, sf_dir, "articles"), host_col="domain")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .boilerplate import with_repeated
 from .furniture import END_LINE
 from .pages import arrow_map, has_text, page_lines, salted_join
 
@@ -85,7 +86,7 @@ def judge(story: list[str], text: str, kind: str | None) -> tuple[int, str]:
 
 def _judged(cols: dict[str, list]) -> dict[str, list]:
     out: dict[str, list] = {"id": cols["id"], "source": cols["source"], "verdict": [], "token": []}
-    for (lines, kinds), text, kind in zip(page_lines(cols["text"]), cols["text"], cols["kind"]):
+    for (lines, kinds), text, kind in zip(page_lines(cols["text"], cols["gone"]), cols["text"], cols["kind"]):
         story = [x.strip() for x, k in zip(lines, kinds) if k == 0 and x.strip()]
         v, t = judge(story, text or "", kind)
         out["verdict"].append(v)
@@ -104,7 +105,7 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return b
 
     for b in batches:
-        for lines, kinds in page_lines(b.column(0).to_pylist()):
+        for lines, kinds in page_lines(b.column(0).to_pylist(), b.column(1).to_pylist()):
             story = [x.strip() for x, k in zip(lines, kinds) if k == 0 and x.strip()]
             words: set[str] = set()
             for x in story[:-1]:
@@ -148,12 +149,13 @@ def _look_up(key, tokens, words):
     return pd.DataFrame({"token": tokens["token"], "cut": [not k and (part or bool(HAN.match(t[-1:]))) for (k, part), t in zip(known, tokens["token"])]})
 
 
-def judged(df: DataFrame, id_col: str, text_col: str, source_col: str, kind_col: str) -> DataFrame:
-    """(id, source, cut) for each row with text. Null and empty texts give no row. Ids must be unique."""
+def judged(df: DataFrame, id_col: str, text_col: str, source_col: str, kind_col: str, host_col: str | None = None) -> DataFrame:
+    """(id, source, cut) for each row with text. Null and empty texts give no row. Ids must be unique. With a host column, furniture that only repetition tells is left out as well."""
     src = df.filter(has_text(F.col(text_col))).select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), F.col(kind_col).alias("kind"))
+    src = with_repeated(src, df, id_col, text_col, host_col)
     v = arrow_map(src, "id long, source string, verdict int, token string", _judged)
     words = (
-        src.select("text").mapInArrow(_vocabulary, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n >= 2").select("word", F.substring("word", 1, 2).alias("head"))
+        src.select("text", "gone").mapInArrow(_vocabulary, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n >= 2").select("word", F.substring("word", 1, 2).alias("head"))
     )
     doubtful = v.filter((F.col("verdict") == DOUBTFUL) & (F.col("token") != "")).select("token").distinct().select("token", F.substring("token", 1, 2).alias("head"))
     # tokens, not rows, meet the words: a common ending is looked up once
@@ -165,12 +167,12 @@ def judged(df: DataFrame, id_col: str, text_col: str, source_col: str, kind_col:
     return found.select("id", "source", F.coalesce("cut", F.col("verdict") == CUT).alias("cut"))
 
 
-def truncated(df: DataFrame, id_col: str = "article_id", text_col: str = "content", source_col: str = "source", kind_col: str = "content_type") -> DataFrame:
+def truncated(df: DataFrame, id_col: str = "article_id", text_col: str = "content", source_col: str = "source", kind_col: str = "content_type", host_col: str | None = None) -> DataFrame:
     """(article_id) of each text whose main body breaks off."""
-    return judged(df, id_col, text_col, source_col, kind_col).filter("cut").select(F.col("id").alias("article_id"))
+    return judged(df, id_col, text_col, source_col, kind_col, host_col).filter("cut").select(F.col("id").alias("article_id"))
 
 
-def share_by_source(df: DataFrame, id_col: str = "article_id", text_col: str = "content", source_col: str = "source", kind_col: str = "content_type") -> DataFrame:
+def share_by_source(df: DataFrame, id_col: str = "article_id", text_col: str = "content", source_col: str = "source", kind_col: str = "content_type", host_col: str | None = None) -> DataFrame:
     """(source, records, cut_records, cut_share) over rows with text; a null source is a group of its own."""
-    j = judged(df, id_col, text_col, source_col, kind_col)
+    j = judged(df, id_col, text_col, source_col, kind_col, host_col)
     return j.groupBy("source").agg(F.count(F.lit(1)).alias("records"), F.sum(F.col("cut").cast("long")).alias("cut_records")).withColumn("cut_share", F.round(F.col("cut_records") / F.col("records"), 6))

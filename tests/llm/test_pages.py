@@ -152,3 +152,15 @@ def test_an_unknown_word_that_begins_no_known_one_is_whole(spark):
     whole = [(10 + i, "d", "s", f"Inside the ledger\nThe foundry raised output by {i}. Packaging went on.\nIt ended there.", "fulltext") for i in range(6)]
     rows = [*whole, (1, "d", "s", "It ended.\n• Racks shipped to Quorvex", "fulltext"), (2, "d", "s", "It ended.\n• Racks shipped to Packag", "fulltext")]
     assert {r.article_id for r in T.truncated(frame(spark, rows)).collect()} == {2}
+
+
+def test_bodies_are_without_furniture_that_only_repetition_tells(spark):
+    from heddle.llm import near_dup as N
+
+    tail = "All texts stay the property of the house and of those who wrote them for it. Fleebed by gromit and his kin in the yard, now and later."
+    rows = [(i, "a.example", "s", f"{i * 7919} of {i} went.\nIn year {i} came {i * 31}, {i * i} and then" + "\n" + tail, "fulltext") for i in range(11, 20)]
+    df = frame(spark, rows)
+    assert T.truncated(df).count() == 0
+    assert {r.article_id for r in T.truncated(df, host_col="domain").collect()} == set(range(11, 20))
+    assert N.near_pairs(df, "article_id", "content").count() > 0 and N.near_pairs(df, "article_id", "content", host_col="domain").count() == 0
+    assert all(tail not in r.body for r in B.main_bodies(df, "article_id", "content", "domain").collect())
