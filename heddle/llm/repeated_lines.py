@@ -1,11 +1,12 @@
 """Problem 6: lines repeated across the documents of one source.
 
-Every line is parsed into a template by a tree of fixed depth: its number of
-tokens, then its first tokens, with a wildcard for each token that holds a digit.
-A line's path depends on the line alone, so the trees of all partitions merge by
-adding the counts of equal paths. A template that covers too few documents cannot
-hold a repeated line and is dropped whole; in the others the lines themselves are
-counted exactly.
+Every line is parsed into a template by a tree of fixed depth: its number of tokens, then
+its first tokens, with a wildcard for each token that holds a digit. A line's path depends
+on the line alone, so the trees of all partitions merge by adding the documents of equal
+paths. A template that covers too few documents of a source cannot hold a repeated line:
+the merged tree comes first, and only lines of templates that cover enough documents are
+counted and joined, the rest of a corpus never moves. Lines are then told apart as they
+stand, or, with slots, by all their tokens with the wildcards.
 """
 
 from __future__ import annotations
@@ -17,68 +18,81 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .forms import consistent_forms
-from .pages import arrow_map, has_text, salted_join, signed
+from .pages import arrow_map, has_text, signed, sized_join, spread, stored
 
 DEPTH = 4  # tokens on a path of the tree
 TOKEN = re.compile(r"[぀-ヿ㐀-鿿]|[^\s぀-ヿ㐀-鿿]+")
+DIGIT = re.compile(r"\d")
 
 
-def template(line: str) -> str:
-    """The tree path of a line: token count, then its first tokens, with '*' for tokens holding digits."""
-    head, n = [], 0
-    for m in TOKEN.finditer(line):
-        if n < DEPTH:
-            t = m.group()
-            head.append("*" if any(c.isdigit() for c in t) else t)
-        n += 1
-    return f"{n}\x1f" + "\x1f".join(head)
-
-
-def _lines(cols: dict[str, list]) -> dict[str, list]:
-    out: dict[str, list] = {k: [] for k in ("src", "id", "line_no", "tpl", "line", "first")}
-    memo: dict[str, tuple[int, int]] = {}
-    for src, i, form in zip(cols["source"], cols["id"], consistent_forms(cols["text"])):
-        if not form:
-            continue
-        s = signed(xxhash.xxh3_64_intdigest(src.encode()))
-        seen: set[int] = set()
-        for k, x in enumerate(form.split("\n")):
-            x = " ".join(x.split())
-            if not x:
+def template(line: str, depth: int | None = DEPTH) -> str:
+    """The tree path of a line: token count, then its first tokens (all without a depth), with '*' for tokens holding digits."""
+    tokens = TOKEN.findall(line)
+    return f"{len(tokens)}\x1f" + "\x1f".join("*" if DIGIT.search(t) else t for t in tokens[:depth])
+
+
+def _h(x: str) -> int:
+    return signed(xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")))
+
+
+def _lines(slots: bool):
+    def run(cols: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {k: [] for k in ("src", "id", "lines")}
+        memo: dict[str, tuple[int, int]] = {}
+        for src, i, form in zip(cols["source"], cols["id"], consistent_forms(cols["text"])):
+            if not form:
                 continue
-            h = memo.get(x)
-            if h is None:
-                if len(memo) > 200_000:
-                    memo.clear()
-                h = memo[x] = (signed(xxhash.xxh3_64_intdigest(template(x).encode("utf-8", "surrogatepass"))), signed(xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"))))
-            out["src"].append(s)
-            out["id"].append(i)
-            out["line_no"].append(k)
-            out["tpl"].append(h[0])
-            out["line"].append(h[1])
-            out["first"].append(0 if h[1] in seen else 1)
-            seen.add(h[1])
-    return out
-
-
-def line_table(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+            seen, rows = set(), []
+            for k, x in enumerate(form.split("\n")):
+                x = " ".join(x.split())
+                if not x:
+                    continue
+                h = memo.get(x)
+                if h is None:
+                    if len(memo) > 200_000:
+                        memo.clear()
+                    h = memo[x] = (_h(template(x)), _h(template(x, None) if slots else x))
+                rows.append((k, *h, h[0] not in seen, h[1] not in seen))
+                seen.update(h)
+            if rows:
+                out["src"].append(_h(src))
+                out["id"].append(i)
+                out["lines"].append([dict(zip(("line_no", "tpl", "line", "new_tpl", "new_line"), r)) for r in rows])
+        return out
+
+    return run
+
+
+def line_table(df: DataFrame, id_col: str, text_col: str, source_col: str, slots: bool = False) -> DataFrame:
+    """Each document's lines with their templates, parsed once and stored; new_tpl and new_line tell the first of a document, so that sums count documents."""
     src = df.filter(has_text(F.col(text_col)) & F.col(source_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    return arrow_map(src, "src long, id long, line_no int, tpl long, line long, first int", _lines)
+    schema = "src long, id long, lines array<struct<line_no:int,tpl:long,line:long,new_tpl:boolean,new_line:boolean>>"
+    return stored(arrow_map(spread(src, "id"), schema, _lines(slots)))
+
+
+def covering(lines: DataFrame, least: int) -> DataFrame:
+    """(src, tpl): the merged tree's templates that cover enough documents of a source; a stored table."""
+    first = F.filter("lines", lambda x: x["new_tpl"])
+    rows = lines.select("src", F.explode(first).alias("x")).select("src", "x.tpl")
+    return stored(rows.groupBy("src", "tpl").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= least).select("src", "tpl"))
+
+
+def survivors(lines: DataFrame, least: int) -> DataFrame:
+    """(src, id, line_no, line, new_line): the lines of covering templates."""
+    rows = lines.select("src", "id", F.explode("lines").alias("x")).select("src", "id", "x.*")
+    return sized_join(rows, covering(lines, least), ["src", "tpl"], F.col("id")).select("src", "id", "line_no", "line", "new_line")
 
 
-def repeated_lines(df: DataFrame, id_col: str, text_col: str, source_col: str, least: int = 6) -> DataFrame:
+def repeated_lines(df: DataFrame, id_col: str, text_col: str, source_col: str, least: int = 6, slots: bool = False) -> DataFrame:
     """(article_id, line_no) of each non-blank line that stands in at least `least` documents of its source.
 
-    Lines are compared in the consistent form, white space trimmed and collapsed.
-    Null sources and null or empty texts give nothing. Ids must be unique.
+    Lines are compared in the consistent form, white space trimmed and collapsed; with slots, tokens that hold digits are
+    equal. Null sources and null or empty texts give nothing. Ids must be unique.
     """
-    lines = line_table(df, id_col, text_col, source_col)
-    # map-side sums of 0/1 flags: a document counts once for a line however often it holds it
-    counts = lines.groupBy("src", "tpl", "line").agg(F.sum("first").alias("docs"))
-    trees = counts.groupBy("src", "tpl").agg(F.sum("docs").alias("cover"), F.max("docs").alias("docs")).filter(F.col("cover") >= least)
-    often = counts.filter(F.col("docs") >= least).join(trees.select("src", "tpl"), ["src", "tpl"], "left_semi").select("src", "line")
-    hit = salted_join(lines.select("src", "line", "id", "line_no"), often, ["src", "line"], F.col("id"))
-    return hit.select(F.col("id").alias("article_id"), "line_no")
+    lines = survivors(line_table(df, id_col, text_col, source_col, slots), least)
+    docs = lines.filter("new_line").groupBy("src", "line").agg(F.count(F.lit(1)).alias("docs"))
+    often = stored(docs.filter(F.col("docs") >= least).select("src", "line"))
+    return sized_join(lines.select("src", "line", "id", "line_no"), often, ["src", "line"], F.col("id")).select(F.col("id").alias("article_id"), "line_no")
 
 
 def without_lines(df: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
