@@ -13,7 +13,7 @@ import re
 
 STORY, FURNITURE, UNSURE = 0, 1, 2
 
-# Names of page sections, by which navigation is known.
+# Defaults: names of page sections, by which navigation is known.
 SECTIONS = {
     "zh": "首页 财经 科创 数据中心 芯片 政策 产业 公司 观点 人物 专题 视频 直播 研报 会议 招聘 学院 论坛 港股 算力 新闻 国际 国内 科技 股票 基金 行情 快讯 滚动 数据 评论 图片 活动 投资 金融 能源 登录 注册 搜索 关于",
     "en": "Home Chips Energy Markets Policy Asia Companies Research Opinion Video Podcasts Events Jobs Newsletters Archive Compute Data World Business Technology Tech Science Politics Finance Europe Americas Startups Cloud Hardware Software Security News Latest Subscribe Login Search Menu",
@@ -21,7 +21,7 @@ SECTIONS = {
     "ja": "トップ 経済 企業 市況 半導体 地域 人事 統計 特集 解説 動画 会員 ニュース 国際 政治 社会 金融 技術 データ 写真 検索 ログイン 株価",
 }
 
-# Whole-line patterns of furniture, in the consistent form. S stands for the
+# Defaults: whole-line patterns of furniture, in the consistent form. S stands for the
 # name of a source, N for a number.
 CUES = {
     "place": [r"(您的|当前|你的)位置:.*", r"(Home|Startseite|トップ|首页)( *[»>/›] *[^»>/›]{1,24})+"],
@@ -34,7 +34,7 @@ CUES = {
         r"(责任编辑|责编|编辑|作者|记者|校对|审校|撰文|来源|稿件来源|监制|统筹|翻译|摄影|图片|文字)[:/].{1,60}", r"(Redaktion|Autor|Autorin|Text|Bearbeitung|Quelle|Foto|Author|Editor|Edited by|Written by|Source|Photo|Byline|取材|編集|執筆|撮影|写真|記者|担当):? ?: ?[^.。!?]{2,60}", r"文\|.{1,40}", r"文[・·].{1,20}", r"本报讯 记者.{1,40}", r".{1,24}(记者|通讯员) [^,。:]{2,12}",
         r"\(.{1,24}編集部\)", r".{1,24} [^ 、。,]{2,10}記者", r"(记者|通讯员) ?[^,。]{2,8} (报道|摄|文)",
         r"By [^.,:;]{3,40}, [^.,:;]{2,40} (staff|desk|correspondent|reporter)", r"(Reporting|Additional reporting|Writing|Editing|Edited) by [^.:]{3,40}(; editing by [^.:]{3,40})?",
-        r"[^.|:,]{3,40} \| [^.|:,]{2,20} desk", r"[^.,:]{3,40} covers [^.]{3,40} for [^.]{2,40}", r"Von [^.,:]{3,40}, [^.,:]{2,40}", r"[^.,:]{3,40} berichtet über Prozessoren",
+        r"[^.|:,]{3,40} \| [^.|:,]{2,20} desk", r"[^.,:]{3,40} covers [^.]{3,40} for [^.]{2,40}", r"Von [^.,:]{3,40}, [^.,:]{2,40}",
     ],
     "counter": [
         r"(阅读|浏览|点击|浏览量|阅读量|稿件编号|文章编号|编号)[: ]? ?[\d,]+ ?次?", r"文章ID ?\d+.{0,20}", r"(网友)?评论\(\d+\).{0,20}", r"[\d,]+ (views|comments|Aufrufe|Kommentare|reads)(\. .{0,40})?",
@@ -50,8 +50,8 @@ CUES = {
         r"Zum Newsletter anmelden", r"Artikel teilen: .{2,60}", r"Zum Kommentieren anmelden", r"Nach oben", r"Jetzt .{2,40} im Abo testen", r"Lesen Sie weiter .{2,40}", r"(Ganzen Artikel anzeigen|Weiterlesen)( ?>>)?",
     ],
     "legal": [
-        r"(免责声明|特别提示|声明|版权声明):.{4,80}", r".{1,24}版权所有.{0,40}", r"本网常年法律顾问:.{2,24}", r"网备示例\d+号.{0,40}", r"违法和不良信息举报:.{2,60}", r"关于我们( - \S{2,8}){1,6}", r"本文转载自合作媒体.{2,60}",
-        r"About us( +\S[^.]{2,60})", r".{2,40} is published by [^.]{3,60}, registration \d+", r"Terms of use.{0,60}", r"Accessibility statement.{0,60}", r"Disclaimer: .{4,100}", r"© .{2,160}", r"Nothing in this article is investment advice\..{0,60}", r"Figures are delayed by at least .{2,40}\.",
+        r"(免责声明|特别提示|声明|版权声明):.{4,80}", r".{1,24}版权所有.{0,40}", r"本网常年法律顾问:.{2,24}", r"\S{0,12}备\D{0,8}\d+号.{0,60}", r"违法和不良信息举报:.{2,60}", r"关于我们( - \S{2,8}){1,6}", r"本文转载自合作媒体.{2,60}",
+        r"About us( +\S[^.]{2,60})", r"Terms of use.{0,60}", r"Accessibility statement.{0,60}", r"Disclaimer: .{4,100}", r"© .{2,160}", r"Nothing in this article is investment advice\..{0,60}", r"Figures are delayed by at least .{2,40}\.",
         r"会社案内.{0,40}", r"サイトマップ.{0,24}", r"本記事は投資勧誘を目的としたものではありません。", r"無断転載を禁じます。.{0,24}", r"掲載情報の正確性を.{1,24}は保証しません。",
         r"Impressum.{0,60}", r"Dieser Beitrag ist keine Anlageberatung\.", r"Alle Angaben ohne Gewähr\.", r".{2,40} – Registernummer.{0,30}",
     ],
@@ -60,7 +60,7 @@ CUES = {
     ],
 }
 
-# Headers of lists of other stories.
+# Defaults: headers of lists of other stories.
 LIST_HEADS = "延伸阅读 相关阅读 热门排行 猜你喜欢 编辑精选 推荐阅读 更多阅读 关联记事 関連記事 注目の記事 アクセスランキング".split()
 LIST_HEAD_LINES = ["Trending now", "Related stories", "You may also like", "Editor's picks", "Most read", "Tipps der Redaktion", "Mehr zum Thema", "Meistgelesen", "Read also", "More on this"]
 
@@ -87,15 +87,13 @@ BOXED = re.compile(r"(?:\[[^\[\]]{1,14}\]){3,}$")
 def cue(line: str) -> str:
     """The kind of a trimmed line by its own words alone: a furniture kind, 'head', 'section', or ''."""
     cues, heads, names, run = patterns()
-    if len(line) > 170:
-        return ""
     if line in names:
         return "section"
     if cues.match(line):
         return "cue"
     if heads.match(line):
         return "head"
-    if len(line) <= 140 and (BOXED.match(line) or run.match(line) or _section_list(line)):
+    if (BOXED.match(line) or run.match(line) or _section_list(line)):
         return "nav"
     if BARRED.match(line) and not BULLET.match(line) and not LINK_MARK.match(line):
         return "nav"

@@ -37,7 +37,7 @@ def test_suffix_array_against_sorting():
         pages = [[rng.randrange(4) for _ in range(rng.randrange(1, 9))] for _ in range(rng.randrange(1, 6))]
         flat, page = np.array(sum(pages, [])), np.repeat(np.arange(len(pages)), [len(p) for p in pages])
         order, lcp = B.suffix_runs(flat, page)
-        suffix = lambda i: flat[i : np.flatnonzero(page == page[i])[-1] + 1].tolist()[: B.LONGEST_RUN]
+        suffix = lambda i: flat[i : np.flatnonzero(page == page[i])[-1] + 1].tolist()[: B.LEAST_RUN]
         s = [suffix(i) for i in order]
         assert sorted(order.tolist()) == list(range(len(flat)))
         groups = collections.Counter(map(tuple, s))
