@@ -1,12 +1,12 @@
 """Attributes as known at event time (problem 7).
 
-A row holds in the rectangle of valid time from its date and recorded time from the
-moment it was known. An event asks at one moment on both axes, so of a firm's
-rectangles only their stretch along the diagonal matters: from the later of the two
-starts, until a better row's stretch begins. These stretches are cut at the lines of
-a time grid; within a cell they are disjoint, and each event finds its cell by
-equality and its stretch within it. A firm of any size is spread over its cells; only
-one best row for each cell is carried on to later cells.
+A row holds in valid time from its date and in recorded time from the moment it was
+known, until better rows take its place: the two axes are split into disjoint rectangles,
+each with one current row. An event asks at one moment on both axes, so of the rectangles
+those that the diagonal crosses are built, as the stretches in which it crosses them.
+They are indexed by a grid of time cells, cut at its lines; each event point finds its
+cell by equality and the rectangle within it by order. An entity of any size is spread
+over its cells; only one best row for each cell is carried on to later cells.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ def firm_code(c: Column) -> Column:
 
 def micros(c: Column) -> Column:
     """Microseconds of a zone-free timestamp taken as UTC."""
-    return F.unix_micros(c.cast("timestamp_ntz").cast("timestamp"))
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c.cast("timestamp_ntz"))
 
 
 def as_known(events: DataFrame, versions: DataFrame, cell_days: int = CELL_DAYS) -> DataFrame:
@@ -35,42 +35,44 @@ def as_known(events: DataFrame, versions: DataFrame, cell_days: int = CELL_DAYS)
     the latest known_at, then the smallest version_id. Nulls in entity or times never
     match; repeated rows are separate versions.
     """
-    cell = F.lit(cell_days * 86_400_000_000)
+    width = cell_days * 86_400_000_000
+    e = events.filter("entity is not null and at is not null").select("entity", "at", F.col("event_id").cast("long").alias("event_id")).withColumn("cell", F.floor(F.col("at") / width).cast("long"))
+    r = rectangles(versions, width, e.select("entity", "cell").distinct())
+    none = F.lit(None).cast("long")
+    both = r.select("entity", "cell", F.col("from").alias("at"), "version_id", none.alias("event_id")).unionByName(e.withColumn("version_id", none)).withColumn("is_event", F.col("event_id").isNotNull())
+    # a cell's rectangles are disjoint and without gaps from its first on: the last that began holds, that of the same moment too
+    w = Window.partitionBy("entity", "cell").orderBy("at", "is_event").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("held", F.last("version_id", ignorenulls=True).over(w)).filter("is_event and held is not null").select("event_id", F.col("held").alias("version_id"))
+
+
+def rectangles(versions: DataFrame, width: int | None = None, also: DataFrame | None = None) -> DataFrame:
+    """(entity, cell, version_id, from, until): the disjoint current-version stretches in each cell of the grid, from included, until not.
+
+    Without a width there is one cell, and until is null where a version still holds. Cells without a version of their own are left out unless they are in `also` (entity, cell); there the version
+    carried from earlier cells holds throughout.
+    """
     rank = F.struct(F.col("day"), F.col("known_at"), (-F.col("version_id")).alias("neg"))
-    v = versions.filter("entity is not null and valid_from is not null and known_at is not null and day is not null").select(
-        "entity", F.greatest("valid_from", "known_at").alias("at"), rank.alias("best"), F.lit(None).cast("long").alias("event_id")
-    )
-    e = events.filter("entity is not null and at is not null").select("entity", "at", F.lit(None).cast(v.schema["best"].dataType).alias("best"), F.col("event_id").cast("long").alias("event_id"))
-    v, e = (x.withColumn("cell", F.floor(F.col("at") / cell).cast("long")) for x in (v, e))
+    v = versions.filter("entity is not null and valid_from is not null and known_at is not null and day is not null").select("entity", F.greatest("valid_from", "known_at").alias("from"), rank.alias("best"))
+    v = v.groupBy("entity", "from").agg(F.max("best").alias("best")).withColumn("cell", F.floor(F.col("from") / width).cast("long") if width else F.lit(0).cast("long"))
 
     # the best row of each cell, then of all cells before it; one short row a cell
+    kind = v.schema["best"].dataType
     tops = v.groupBy("entity", "cell").agg(F.max("best").alias("top"))
-    cells = tops.unionByName(e.select("entity", "cell").distinct().withColumn("top", F.lit(None).cast(v.schema["best"].dataType))).groupBy("entity", "cell").agg(F.max("top").alias("top"))
+    if also is not None:
+        tops = tops.unionByName(also.withColumn("top", F.lit(None).cast(kind))).groupBy("entity", "cell").agg(F.max("top").alias("top"))
     before = F.max("top").over(Window.partitionBy("entity").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
-    carried = cells.select("entity", "cell", before.alias("carried"))
-
-    # within a cell: rows come before events of the same moment
-    both = v.unionByName(e).withColumn("is_event", F.col("event_id").isNotNull())
-    w = Window.partitionBy("entity", "cell").orderBy("at", "is_event").rowsBetween(Window.unboundedPreceding, 0)
-    here = both.withColumn("inside", F.max("best").over(w)).filter("is_event")
-    found = here.join(carried, ["entity", "cell"], "left").withColumn("held", F.greatest("inside", "carried"))
-    return found.filter("held is not null").select("event_id", (-F.col("held.neg")).alias("version_id"))
+    carried = tops.select("entity", "cell", (F.col("cell") * (width or 1)).alias("from"), before.alias("best")).filter("best is not null")
 
-
-def rectangles(versions: DataFrame) -> DataFrame:
-    """The disjoint current-version stretches of each entity: (entity, version_id, from, until), until null where it still holds."""
-    rank = F.struct(F.col("day"), F.col("known_at"), (-F.col("version_id")).alias("neg"))
-    v = versions.filter("entity is not null and valid_from is not null and known_at is not null").select("entity", F.greatest("valid_from", "known_at").alias("at"), rank.alias("best"))
-    one = v.groupBy("entity", "at").agg(F.max("best").alias("best"))
-    w = Window.partitionBy("entity").orderBy("at")
-    run = one.withColumn("held", F.max("best").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    change = run.withColumn("prev", F.lag("held").over(w)).filter("prev is null or held <> prev")
-    return change.select("entity", (-F.col("held.neg")).alias("version_id"), F.col("at").alias("from"), F.lead("at").over(w).alias("until"))
+    w = Window.partitionBy("entity", "cell").orderBy("from", "best")
+    held = v.select("entity", "cell", "from", "best").unionByName(carried).withColumn("held", F.max("best").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    change = held.withColumn("prev", F.lag("held").over(w)).filter("prev is null or held <> prev")
+    until = F.coalesce(F.lead("from").over(w), (F.col("cell") + 1) * width if width else F.lit(None).cast("long"))
+    return change.select("entity", "cell", (-F.col("held.neg")).alias("version_id"), "from", until.alias("until")).filter("until is null or from < until")
 
 
 def exposure_at_hits(hits: DataFrame, panel: DataFrame, zone_hours: int = 8) -> DataFrame:
     """(hit_id, panel_id): for each hit the panel row of its firm that held at hit_time; a row counts from 00:00 of its date at UTC+zone_hours."""
-    start = F.unix_micros(F.col("date").cast("timestamp_ntz").cast("timestamp")) - F.lit(zone_hours * 3_600_000_000)
+    start = micros(F.col("date")) - F.lit(zone_hours * 3_600_000_000)
     versions = panel.filter("L_GPUExposure is not null and not isnan(L_GPUExposure)").select(
         F.col("panel_id").cast("long").alias("version_id"), firm_code(F.col("thscode")).alias("entity"), F.col("date").alias("day"), start.alias("valid_from"), micros(F.col("known_at")).alias("known_at")
     )

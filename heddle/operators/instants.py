@@ -1,12 +1,13 @@
 """Mixed timestamp formats and time zones to one UTC instant (problem 4).
 
-A value contributes to each way of reading it that is valid for it. Values of one
-source share a mixture of readings: expectation-maximisation over the counts of
-(source, set of valid readings) gives each source its weights, from a prior at the
-catalogue's date order, and the posterior picks a value's reading. Values whose best
-posterior is not clear are marked. All parsing is in built-in expressions; the
-mixture works on counts, a few rows for each source. The session's time zone must be
-UTC, as the tables' is.
+A value contributes its likelihood under each format that parses it: full for a day
+near the time of collection or before, little for one long before there were pages or
+long after that moment; between two orders of day and month the source alone tells. Values of one source share a mixture of formats:
+expectation-maximisation over the counts of (source, likelihoods by format) gives each
+source its weights, from a prior that knows the catalogue's date order, and the posterior
+picks a value's format. Values whose best posterior is not clear are marked. All parsing
+is in built-in expressions; the mixture works on counts, a few rows for each source. The
+session's time zone must be UTC, as the tables' is.
 """
 
 from __future__ import annotations
@@ -17,9 +18,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import sized_join, stored
+
 ORDERS = ("ymd", "dmy", "mdy")
 CLEAR = 0.9  # posterior from which a reading counts as settled
-PRIOR = 1000.0  # pseudo-counts behind the catalogue's date order, 1 behind each other
+PRIOR = 20.0  # pseudo-counts behind the catalogue's date order, 1 behind each other format
+UNLIKELY = 0.02  # likelihood of a day before FIRST_YEAR or more than MOST_AHEAD days after the moment of collection, against 1 for any other
+FIRST_YEAR, MOST_AHEAD = 1990, 366
+READINGS = ("iso", "compact", "day_name", "name_day", "dmy", "mdy", "epoch", "relative")
 
 # Zone abbreviations with their offsets in minutes where the source's own zone has none of that name.
 ABBREVIATIONS = {
@@ -105,37 +111,53 @@ def interpretations(df: DataFrame, value: Column) -> DataFrame:
     df = df.withColumns({f"_{k}": c for k, c in f.items()})
     c = lambda k: F.col(f"_{k}")
     n = lambda k: _num(c(k))
-    certain = F.coalesce(
-        F.when(c("iso").isNotNull(), _date(n("iso"), n("iso_m"), n("iso_d"))),
-        F.when(c("cmp_y").isNotNull(), _date(n("cmp_y"), n("cmp_m"), n("cmp_d"))),
-        F.when(c("dm_d").isNotNull(), _date(n("dm_y"), _month(c("dm_m")), n("dm_d"))),
-        F.when(c("md_d").isNotNull(), _date(n("md_y"), _month(c("md_m")), n("md_d"))),
-    )
-    dmy = F.when(c("num_a").isNotNull(), _date(n("num_y"), n("num_b"), n("num_a")))
-    mdy = F.when(c("num_a").isNotNull(), _date(n("num_y"), n("num_a"), n("num_b")))
-    return df.withColumns({"_ymd": certain, "_dmy": dmy, "_mdy": mdy})
+    of = lambda k, y, m, d: F.when(c(k).isNotNull(), _date(y, m, d))
+    days = {
+        "iso": of("iso", n("iso"), n("iso_m"), n("iso_d")), "compact": of("cmp_y", n("cmp_y"), n("cmp_m"), n("cmp_d")),
+        "day_name": of("dm_d", n("dm_y"), _month(c("dm_m")), n("dm_d")), "name_day": of("md_d", n("md_y"), _month(c("md_m")), n("md_d")),
+        "dmy": of("num_a", n("num_y"), n("num_b"), n("num_a")), "mdy": of("num_a", n("num_y"), n("num_a"), n("num_b")),
+    }
+    return df.withColumns({f"_d_{k}": v for k, v in days.items()})
 
 
-def _mixture(pdf: pd.DataFrame) -> pd.DataFrame:
-    """EM over one source's counts by set of valid orders: weights of dmy and mdy."""
-    order = pdf["date_order"].iloc[0]
-    prior = {o: PRIOR if o == order else 1.0 for o in ("dmy", "mdy")}
-    if order not in prior:
-        prior = {"dmy": 1.0, "mdy": 1.0}
-    w = {o: prior[o] / sum(prior.values()) for o in prior}
-    sets = [(r.has_dmy, r.has_mdy, r.n) for r in pdf.itertuples()]
-    for _ in range(50):
-        got = dict(prior)
-        for dmy, mdy, n in sets:
-            z = w["dmy"] * dmy + w["mdy"] * mdy
+def em(counts: list[tuple[str, int]], order: str | None, rounds: int = 100) -> dict[str, list[float]]:
+    """Posteriors by format for each likelihood code of one source.
+
+    A code has a digit for each of READINGS: 0 where the format does not parse the value, 1 where its day is unlikely, 2
+    where it is likely. counts has how many values of the source have each code.
+    """
+    like = {code: [(0.0, UNLIKELY, 1.0)[int(x)] for x in code] for code, _ in counts}
+    prior = [PRIOR if r == order else 1.0 for r in READINGS]
+    w = [p / sum(prior) for p in prior]
+    for _ in range(rounds):
+        got = list(prior)
+        for code, n in counts:
+            z = sum(a * b for a, b in zip(w, like[code]))
             if z > 0:
-                got["dmy"] += n * w["dmy"] * dmy / z
-                got["mdy"] += n * w["mdy"] * mdy / z
-        new = {o: got[o] / sum(got.values()) for o in got}
-        if abs(new["dmy"] - w["dmy"]) < 1e-12:
+                for k, x in enumerate(like[code]):
+                    got[k] += n * w[k] * x / z
+        new = [g / sum(got) for g in got]
+        if max(abs(a - b) for a, b in zip(w, new)) < 1e-12:
             break
         w = new
-    return pd.DataFrame({"src": [pdf["src"].iloc[0]], "w_dmy": [w["dmy"]], "w_mdy": [w["mdy"]]})
+    out = {}
+    for code, x in like.items():
+        z = sum(a * b for a, b in zip(w, x))
+        out[code] = [a * b / z for a, b in zip(w, x)] if z > 0 else [0.0] * len(READINGS)
+    return out
+
+
+def _mixture(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The best format of each likelihood code of one source, and the posteriors that matter."""
+    order = next((o for o in pdf["date_order"] if isinstance(o, str)), None)
+    codes = list(zip(pdf["code"], pdf["n"]))
+    got = em(codes, order)
+    best = [max(range(len(READINGS)), key=lambda k: (got[c][k], -k)) for c, _ in codes]
+    day, month = READINGS.index("dmy"), READINGS.index("mdy")
+    return pd.DataFrame({
+        "src": pdf["src"], "code": pdf["code"], "reading": [READINGS[k] if got[c][k] > 0 else None for (c, _), k in zip(codes, best)],
+        "posterior": [got[c][k] for (c, _), k in zip(codes, best)], "numeric": [got[c][day] + got[c][month] for c, _ in codes],
+    })
 
 
 def _local_to_utc(ts: Column, zone: Column) -> Column:
@@ -155,25 +177,29 @@ def normalise(df: DataFrame, value_col: str, source_col: str, catalog: DataFrame
     cat = catalog.select(F.col("source").alias("_s"), F.col("home_domain").alias("_h"), F.col("time_zone").alias("_tz"), F.col("date_order").alias("_order"))
     base = df.select(*keep, F.col(value_col).cast("string").alias("_value"), F.col(source_col).alias("_source"), F.col(collected_col).cast("timestamp_ntz").cast("timestamp").alias("_seen"), (host if host is not None else F.lit(None).cast("string")).alias("_host"))
     base = base.withColumn("_host", F.regexp_replace(F.lower("_host"), r"^(www|m|news)\.", ""))
-    by_source = cat.filter("_s is not null").select("_s", F.col("_tz").alias("_tz1"), F.col("_order").alias("_o1")).dropDuplicates(["_s"])
-    by_host = cat.filter("_h is not null").select("_h", F.col("_tz").alias("_tz2"), F.col("_order").alias("_o2"), F.col("_s").alias("_s2")).dropDuplicates(["_h"])
+    # of several rows of one source or domain the first in order counts
+    one = lambda key, *cols: cat.filter(f"{key} is not null").groupBy(key).agg(F.min(F.struct("_s", "_tz", "_order")).alias("x")).select(key, *[F.col(f"x.{a}").alias(b) for a, b in cols])
+    by_source, by_host = one("_s", ("_tz", "_tz1"), ("_order", "_o1")), one("_h", ("_tz", "_tz2"), ("_order", "_o2"), ("_s", "_s2"))
     base = base.join(by_source, base["_source"] == by_source["_s"], "left").join(by_host, base["_source"].isNull() & (base["_host"] == by_host["_h"]), "left")
     base = base.withColumns({"_tz": F.coalesce("_tz1", "_tz2"), "_order": F.coalesce("_o1", "_o2"), "_src": F.coalesce("_source", "_s2", F.lit(""))}).drop("_tz1", "_tz2", "_o1", "_o2", "_s", "_h", "_s2", "_host", "_source")
     x = interpretations(base, F.col("_value"))
-
-    numeric = x.filter("_num_a is not null and (_dmy is not null or _mdy is not null)")
-    counts = numeric.groupBy(F.col("_src").alias("src"), F.col("_dmy").isNotNull().cast("int").alias("has_dmy"), F.col("_mdy").isNotNull().cast("int").alias("has_mdy")).agg(
-        F.count(F.lit(1)).alias("n"), F.first("_order", ignorenulls=True).alias("date_order")
+    c = lambda k: F.col(f"_{k}")
+    epoch = F.coalesce(
+        F.when(c("epoch").isNotNull(), F.timestamp_millis(c("epoch").try_cast("long") * 1000 + F.coalesce(F.rpad(F.substring("_epoch_f", 1, 3), 3, "0").try_cast("long"), F.lit(0)))),
+        F.when(c("epoch_ms").isNotNull(), F.timestamp_millis(c("epoch_ms").try_cast("long"))),
+        F.when(c("epoch_us").isNotNull(), F.timestamp_micros(c("epoch_us").try_cast("long"))),
     )
-    weights = counts.groupBy("src").applyInPandas(_mixture, "src string, w_dmy double, w_mdy double")
-    x = x.join(weights, x["_src"] == weights["src"], "left")
-
-    pd_, pm = F.when(F.col("_dmy").isNotNull(), F.coalesce("w_dmy", F.lit(0.5))).otherwise(0.0), F.when(F.col("_mdy").isNotNull(), F.coalesce("w_mdy", F.lit(0.5))).otherwise(0.0)
-    both_same = F.col("_dmy") == F.col("_mdy")
-    day = F.coalesce(F.col("_ymd"), F.when(pd_ >= pm, F.coalesce("_dmy", "_mdy")).otherwise(F.coalesce("_mdy", "_dmy")))
-    post = F.when(F.col("_num_a").isNull(), 1.0).when(F.coalesce(both_same, F.lit(False)), 1.0).otherwise(F.try_divide(F.greatest(pd_, pm), pd_ + pm))
+    ago_n = F.coalesce(_num(c("ago_n")), _num(c("ago_de")))
+    unit = F.coalesce(c("ago_u"), c("ago_de_u"))
+    ago_s = ago_n * F.when(unit.rlike("^(秒|sec|sek)"), 1).when(unit.rlike("^(分|min)"), 60).when(unit.rlike("^(小|時|hour|hr|stunde)"), 3600).when(unit.rlike("^(天|日|day|tag)"), 86400).otherwise(604800)
+    relative = F.when(ago_s.isNotNull(), F.timestamp_add("SECOND", (-ago_s).cast("int"), F.col("_seen")))
+    x = x.withColumns({"_epoch_at": epoch, "_relative_at": relative})
 
-    c = lambda k: F.col(f"_{k}")
+    # the likelihood of a value under each format, as a code of one digit each
+    day_of = {**{r: c(f"d_{r}") for r in READINGS[:6]}, "epoch": c("epoch_at").cast("date"), "relative": c("relative_at").cast("date")}
+    early, late = F.lit(f"{FIRST_YEAR}-01-01").cast("date"), F.coalesce(F.date_add(F.col("_seen").cast("date"), MOST_AHEAD), F.lit("9999-12-31").cast("date"))
+    # between two orders of day and month the source alone tells
+    code = F.concat(*[F.when(day_of[r].between(early, F.lit("9999-12-31").cast("date") if r in ORDERS else late), "2").when(day_of[r].isNotNull(), "1").otherwise("0") for r in READINGS])
     hour0 = F.coalesce(_num(c("hh")), _num(F.substring("_cmp_t", 1, 2)), F.lit(0))
     half = c("half")
     pm_words = half.isin("下午", "晚上", "傍晚", "午後", "中午") | half.rlike(r"^p")
@@ -183,7 +209,7 @@ def normalise(df: DataFrame, value_col: str, source_col: str, catalog: DataFrame
     second = F.coalesce(_num(c("ss")), _num(c("sec2")), _num(F.nullif(F.substring("_cmp_t", 5, 2), F.lit(""))), F.lit(0))
     ms = F.coalesce(_num(F.substring(F.rpad(F.coalesce("_frac", F.lit("0")), 3, "0"), 1, 3)), F.lit(0))
     ok = (hour < 24) & (minute < 60) & (second < 60)
-    local = F.when(day.isNotNull() & ok, F.try_to_timestamp(F.format_string("%s %02d:%02d:%02d.%03d", day.cast("string"), hour, minute, second, ms), F.lit("yyyy-MM-dd HH:mm:ss.SSS")))
+    clock = F.when(ok, F.format_string("%02d:%02d:%02d.%03d", hour, minute, second, ms))
 
     sign = F.when(F.substring("_off", 1, 1) == "-", -1).otherwise(1)
     digits = F.regexp_replace(F.substring("_off", 2, 9), ":", "")
@@ -195,21 +221,23 @@ def normalise(df: DataFrame, value_col: str, source_col: str, catalog: DataFrame
     beijing = F.when(c("v").startswith("北京时间"), F.lit(480)).when(c("v").startswith("東京時間"), F.lit(540))
     stated = F.coalesce(numeric_off, F.when(c("v").rlike(r"\d[Zz]$"), F.lit(0)), abbr_off, beijing)
 
-    ago_n = F.coalesce(_num(c("ago_n")), _num(c("ago_de")))
-    unit = F.coalesce(c("ago_u"), c("ago_de_u"))
-    ago_s = ago_n * F.when(unit.rlike("^(秒|sec|sek)"), 1).when(unit.rlike("^(分|min)"), 60).when(unit.rlike("^(小|時|hour|hr|stunde)"), 3600).when(unit.rlike("^(天|日|day|tag)"), 86400).otherwise(604800)
-    epoch = F.coalesce(
-        F.when(c("epoch").isNotNull(), F.timestamp_millis(c("epoch").try_cast("long") * 1000 + F.coalesce(F.rpad(F.substring("_epoch_f", 1, 3), 3, "0").try_cast("long"), F.lit(0)))),
-        F.when(c("epoch_ms").isNotNull(), F.timestamp_millis(c("epoch_ms").try_cast("long"))),
-        F.when(c("epoch_us").isNotNull(), F.timestamp_micros(c("epoch_us").try_cast("long"))),
-    )
+    # parsed once
+    x = stored(x.select(*keep, "_src", "_value", "_order", "_tz", "_zone", *[f"_d_{r}" for r in READINGS[:6]], "_epoch_at", "_relative_at", code.alias("_code"), clock.alias("_clock"), stated.cast("int").alias("_stated")))
+    counts = x.filter(F.col("_code") != "0" * len(READINGS)).groupBy(F.col("_src").alias("src"), F.col("_code").alias("code")).agg(F.count(F.lit(1)).alias("n"), F.min("_order").alias("date_order"))
+    chosen = stored(counts.groupBy("src").applyInPandas(_mixture, "src string, code string, reading string, posterior double, numeric double")).select(F.col("src").alias("_src"), F.col("code").alias("_code"), "reading", "posterior", "numeric")
+    x = sized_join(x, chosen, ["_src", "_code"], F.col("_value"), "left")
+    day = F.coalesce(*[F.when(F.col("reading") == r, day_of[r]) for r in READINGS[:6]])
+    same = F.col("reading").isin("dmy", "mdy") & F.coalesce(c("d_dmy") == c("d_mdy"), F.lit(False))
+    post = F.when(same, F.col("numeric")).otherwise(F.col("posterior"))
+
+    local, stated = F.try_to_timestamp(F.concat(day.cast("string"), F.lit(" "), F.col("_clock")), F.lit("yyyy-MM-dd HH:mm:ss.SSS")), F.col("_stated")
     zoned = F.coalesce(
-        F.when(stated.isNotNull(), F.timestamp_add("MINUTE", (-stated).cast("int"), local)),
+        F.when(stated.isNotNull(), F.timestamp_add("MINUTE", -stated, local)),
         F.when(c("zone").isNotNull(), _local_to_utc(local, c("zone"))),
         F.when(F.col("_tz").isNotNull(), _local_to_utc(local, F.col("_tz"))),
         local,
     )
-    relative = F.when(ago_s.isNotNull(), F.timestamp_add("SECOND", (-ago_s).cast("int"), F.col("_seen")))
+    relative, epoch = (F.when(F.col("reading") == k, c(f"{k}_at")) for k in ("relative", "epoch"))
     utc = F.coalesce(relative, epoch, zoned)
     clear = stated.isNotNull() | c("zone").isNotNull()
     state = (

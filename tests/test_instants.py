@@ -114,3 +114,26 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "row_id long, value string, src string, seen timestamp_ntz")
     cat = spark.createDataFrame(CAT, "source string, home_domain string, time_zone string, date_order string")
     assert I.normalise(df, "value", "src", cat, "seen", None, ["row_id"]).count() == 0
+
+
+def test_the_mixture_chooses_between_formats():
+    """A source's own values move its weights against the catalogue, and decide between a compact date and a count of milliseconds."""
+    code = lambda **k: "".join(str(k.get(r, 0)) for r in I.READINGS)
+    both, month_only = code(dmy=2, mdy=2), code(mdy=2)
+    best = lambda x: I.READINGS[max(range(len(x)), key=lambda k: x[k])]
+    assert best(I.em([(both, 5)], "dmy")[both]) == "dmy"
+    assert best(I.em([(both, 5), (month_only, 200)], "dmy")[both]) == "mdy"
+    twelve = code(compact=2, epoch=1)
+    assert best(I.em([(twelve, 1)], None)[twelve]) == "compact"
+    open_ = code(compact=2, epoch=2)
+    assert best(I.em([(open_, 1), (code(epoch=2), 50)], None)[open_]) == "epoch"
+    assert I.em([(code(), 3)], None)[code()] == [0.0] * len(I.READINGS)
+
+
+def test_twelve_digits_are_a_compact_date(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, "202403050607", "x", SEEN), (2, "1709618827123", "x", SEEN)], "row_id long, value string, src string, seen timestamp_ntz")
+    cat = spark.createDataFrame([("x", "x.example", "UTC", "ymd")], "source string, home_domain string, time_zone string, date_order string")
+    out = {r["row_id"]: r["ts"] for r in I.normalise(df, "value", "src", cat, "seen", None, ["row_id"]).select("row_id", I.iso_millis(F.col("utc")).alias("ts")).collect()}
+    assert out == {1: "2024-03-05T06:07:00.000Z", 2: "2024-03-05T06:07:07.123Z"}
