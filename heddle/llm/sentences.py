@@ -1,10 +1,12 @@
 """Problem 10: sentence units across languages and scripts.
 
 Boundaries are settled within the document first: a word with a period that a
-lower-case word or a comma follows somewhere is an abbreviation there, and a word
-seen capitalised in the middle of a sentence is a name there. Where the document is
-silent, counts over the corpus decide, then a list of common abbreviations. Scripts
-have their own terminators; quotations and brackets are never divided.
+lower-case word or a comma follows somewhere is an abbreviation there, a word that
+stands there without one again and again is an ordinary word, and a word seen
+capitalised in the middle of a sentence is a name there. Where the document is silent,
+counts over the corpus decide in the same way, and only where these are silent too a
+short list of common abbreviations does. Scripts have their own terminators; quotations
+and brackets are never divided.
 """
 
 from __future__ import annotations
@@ -17,21 +19,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pages import arrow_map, has_text
+from .pages import arrow_map, has_text, spread, stored
 
-# Abbreviations that stand before the word they belong to, so that they end no sentence.
+# Defaults: abbreviations that stand before the word they belong to, so that they end no sentence.
 LEADING = frozenset(
     "Dr Mr Mrs Ms Prof St Mt Ft Gen Col Lt Sgt Capt Rev Hon Pres Sen Rep Gov No Nos Nr Fig Figs Tab Eq Sec Ch Vol pp approx ca cf vs viz resp incl "
     "i.e e.g z u d o i.d.R bzw evtl ggf vgl Mio Mrd Tsd Hr Fr Frl Abs Art Bd Kap M MM Mme Mlle Mgr env av apr fig vol réf "
     "Sr Sra Srta Dra Lic Ing núm pág págs aprox p.ej EE ej cap vol ver Ver डॉ रु श्री कि मी د أ م ดร น.ส นาย".split()
 )
-# Abbreviations that may also close a sentence.
+# Defaults: abbreviations that may also close a sentence.
 EITHER = frozenset(
     "Inc Corp Ltd Co LLC Bros Jr Sr. al etc U.S U.K U.N E.U EE.UU UU S.A a.m p.m A.M P.M bn mn Jan Feb Mar Apr Jun Jul Aug Sept Sep Oct Nov Dec usw usf u.a d.h z.B GmbH AG p r n".split()
 )
-# Months, whose short forms stand before a day or a year.
+LISTED = LEADING | EITHER
+# Defaults: months, whose short forms stand before a day or a year.
 MONTHS = frozenset("Jan Feb Mar Apr Jun Jul Aug Sept Sep Oct Nov Dec".split())
-# German words before an ordinal number.
+# Defaults: German words before an ordinal number.
 BEFORE_ORDINAL = frozenset("am das der die dem den des im vom zum zur bis ab seit und beim ins Am Das Der Die Im Vom Zum Zur Bis Ab Seit Beim".split())
 
 CLOSE_OF = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "《": "》", "（": "）", "(": ")", "【": "】", "〈": "〉", "［": "］", "[": "]"}
@@ -55,22 +58,49 @@ ABBR_SEEN = re.compile(r"(?<![^\s(“„«\"])([^\W\d_](?:[^\W\d_]|\.(?=[^\W\d_]
 CAP_MID = re.compile(r"(?<=[a-zà-ÿ,] )([A-ZÀ-Þ][\w’'-]*)")
 
 
+BARE_HERE = 2  # places of a word without a period that make it an ordinary one in a document
+BARE_CORPUS = 20  # and in a corpus, where they must be four times those with a period
+
+
 class Words:
-    """What is known of words: by the document, then by the corpus."""
+    """What is known of words: by the document, then by the corpus, then by the list."""
 
-    def __init__(self, text: str, corpus: frozenset[str] | set[str]) -> None:
-        self.text, self.corpus = text, corpus
+    def __init__(self, text: str, corpus: frozenset[str] | set[str], document: bool = True) -> None:
+        self.text, self.corpus, self.document = text, corpus, document
         self._abbr: set[str] | None = None
         self._names: set[str] | None = None
-
-    def abbreviation(self, w: str) -> bool:
+        self._bare: dict[str, int] = {}
+
+    def bare(self, w: str) -> int:
+        """How often a word stands without a period in the document."""
+        if w not in self._bare:
+            self._bare[w] = len(re.findall(rf"(?<!\S){re.escape(w)}(?=[\s,;:])", self.text))
+        return self._bare[w]
+
+    def here(self, w: str) -> bool | None:
+        """Whether a word is an abbreviation by its other places in the document; None where they do not tell."""
+        if not self.document:
+            return None
         if self._abbr is None:
-            self._abbr = {m[1] for m in ABBR_SEEN.finditer(self.text) if len(m[1]) <= 5 and not _camel(self.text, m.end())}
-        return w in self._abbr or "a\t" + w in self.corpus
+            self._abbr = {m[1] for m in ABBR_SEEN.finditer(self.text) if not _camel(self.text, m.end())}
+        if w in self._abbr:
+            return len(w) <= 5 or not self.bare(w)
+        return False if w in LISTED and len(w) > 1 and w.isalpha() and self.bare(w) >= BARE_HERE else None
+
+    def kind(self, w: str) -> str:
+        """'lead' for an abbreviation that stands before its word, 'either' for one that may also close a sentence, '' for any other word."""
+        known = self.here(w)
+        if known is None and ("a\t" + w in self.corpus or "o\t" + w in self.corpus):
+            known = "a\t" + w in self.corpus
+        if known is False:
+            return ""
+        return "lead" if w in LEADING else "either" if known or w in EITHER else ""
 
     def starts_sentence(self, w: str) -> bool:
         """Whether a capitalised word after a doubtful period opens a sentence rather than being a name."""
         low = w.lower()
+        if not self.document:
+            return "s\t" + w in self.corpus
         if self._names is None:
             self._names = {m[1] for m in CAP_MID.finditer(self.text)}
         if re.search(rf"(?<![\w’']){re.escape(low)}(?![\w’'])", self.text):
@@ -156,14 +186,15 @@ def _period_ends(text: str, at: int, after: int, low: int, high: int, words: Wor
     if "ऀ" <= prev <= "ॿ" or "ऀ" <= c <= "ॿ":
         return False
     hangul = "가" <= prev <= "힣"
+    kind = words.kind(word)
     if "가" <= c <= "힣" or hangul:
         if not spaced:
             return hangul and (c.isupper() or "가" <= c <= "힣" or c in OPENERS or c.isdigit())
-        return word not in LEADING and word not in EITHER and not words.abbreviation(word) and not (len(word) == 1 and word.isupper())
+        return not kind and not (len(word) == 1 and word.isupper())
     if "؀" <= prev <= "ۿ" or "؀" <= c <= "ۿ":
         if not spaced and not ("؀" <= prev <= "ۿ" and ("؀" <= c <= "ۿ" or c.isupper() or c in OPENERS)):
             return False
-        return word not in LEADING and (len(word) > 1 or word.isdigit())
+        return kind != "lead" and (len(word) > 1 or word.isdigit())
     opener = c in OPENERS
     d = c
     if opener:
@@ -175,28 +206,28 @@ def _period_ends(text: str, at: int, after: int, low: int, high: int, words: Wor
     follow = m[0] if m else ""
     if not spaced:
         if c in "¿¡“„«" and (prev.islower() or prev.isdigit() or prev in ")%"):
-            return word not in LEADING
+            return kind != "lead"
         if not c.isupper() or len(follow) < 2 and follow not in ("A", "I", "À", "L", "D") or not (follow[1:2].islower() or len(follow) < 2):
             return False
-        if word in EITHER:
+        if kind == "either" and word in EITHER:
             return words.starts_sentence(follow)
-        return (prev.islower() or prev.isdigit() or prev in ")%”“»") and word not in LEADING and len(word) > 1
+        return (prev.islower() or prev.isdigit() or prev in ")%”“»") and kind != "lead" and len(word) > 1
     if d and d.islower() and not opener:
-        return _camel(text, nxt) and word not in LEADING and word not in EITHER
+        return _camel(text, nxt) and not (kind and word in LISTED)
     if c in GOES_ON or c in "-–—/&":
         return False
-    if word in LEADING:
+    if kind == "lead":
         return False
     if d.isdigit():
         if word in MONTHS or word in ("p", "pp", "n"):
             return False
-        return not (words.abbreviation(word) and word not in EITHER) and not (word in ("No", "Nr", "ca", "env"))
+        return not (kind and word not in EITHER) and word not in ("No", "Nr", "ca", "env")
     if len(word) == 1 and word.isalpha() and word.isupper():
         return False  # an initial
     if word.isdigit() and len(word) <= 2 and d.isupper():
         before = _word_before(text, at - len(word) - 1, low) if at - len(word) - 1 > low else ""
         return before not in BEFORE_ORDINAL
-    if word in EITHER or words.abbreviation(word):
+    if kind:
         return bool(opener) or words.starts_sentence(follow)
     return True
 
@@ -313,12 +344,12 @@ def _by_space(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
         yield start, b
 
 
-def segment(text: str | None, corpus: frozenset[str] | set[str] = frozenset()) -> list[tuple[int, int]]:
-    """Sentence units (start, end) of a text; none for a null, empty or blank one."""
+def segment(text: str | None, corpus: frozenset[str] | set[str] = frozenset(), document: bool = True) -> list[tuple[int, int]]:
+    """Sentence units (start, end) of a text; none for a null, empty or blank one. Without document, the text's own evidence on words is left out."""
     if not text or text.isspace():
         return []
-    words = Words(text, corpus)
-    thai = len(THAI.findall(text[:4000])) > 20 or bool(THAI.search(text))
+    words = Words(text, corpus, document)
+    thai = bool(THAI.search(text))
     silent = not thai and not re.search("[。！？｡]", text) and len(HAN.findall(text)) * 2 > len(text)
     out: list[tuple[int, int]] = []
     for low, high in _blocks(text):
@@ -340,24 +371,25 @@ def asked(text: str) -> set[str]:
                 nxt += 1
             while nxt < high and text[nxt].isspace():
                 nxt += 1
-            out.add("a\t" + _word_before(text, m.start(), low))
+            before = _word_before(text, m.start(), low)
+            out |= {"a\t" + before, "o\t" + before}
             if w := LATIN_WORD.match(text, nxt):
                 out.add("s\t" + w[0])
     return out
 
 
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words: with a period before a lower-case word, with one before a capital, at sure starts, and capitalised inside."""
-    names = ["word", "low", "cap", "start", "mid"]
+    """Counts of words: with a period before a lower-case word, with one before a capital, at sure starts, capitalised inside, and, of listed ones, without a period."""
+    names = ["word", "low", "cap", "start", "mid", "bare"]
     held: dict[str, list[int]] = {}
 
     def flush() -> pa.RecordBatch:
-        b = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), *(pa.array([v[k] for v in held.values()], pa.int64()) for k in range(4))], names=names)
+        b = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), *(pa.array([v[k] for v in held.values()], pa.int64()) for k in range(5))], names=names)
         held.clear()
         return b
 
     def add(word: str, k: int) -> None:
-        held.setdefault(word, [0, 0, 0, 0])[k] += 1
+        held.setdefault(word, [0, 0, 0, 0, 0])[k] += 1
 
     period = re.compile(r"(?<![^\s(“„«\"])([^\W\d_](?:[^\W\d_]|\.(?=[^\W\d_])){0,4})\.\s+([^\W\d_])")
     for b in batches:
@@ -373,7 +405,10 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if w and w[0][0].isupper():
                     add(w[0], 2)
             for w, n in Counter(CAP_MID.findall(text)).items():
-                held.setdefault(w, [0, 0, 0, 0])[3] += n
+                held.setdefault(w, [0, 0, 0, 0, 0])[3] += n
+            for w in text.split():
+                if w in LISTED:
+                    add(w, 4)
         if len(held) > 100_000:
             yield flush()
     if held:
@@ -381,12 +416,13 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def corpus_words(docs: DataFrame, text_col: str) -> DataFrame:
-    """(word): 'a' and a tab before abbreviations, 's' and a tab before words that open sentences, by counts over all documents."""
-    e = docs.filter(has_text(F.col(text_col))).select(F.col(text_col).alias("text")).mapInArrow(_evidence, "word string, low long, cap long, start long, mid long")
-    c = e.groupBy("word").agg(*(F.sum(x).alias(x) for x in ("low", "cap", "start", "mid")))
+    """(word): 'a' and a tab before abbreviations, 'o' and a tab before listed ones that are ordinary words here, 's' and a tab before words that open sentences, by counts over all documents."""
+    e = docs.filter(has_text(F.col(text_col))).select(F.col(text_col).alias("text")).transform(lambda d: spread(d, "text")).mapInArrow(_evidence, "word string, low long, cap long, start long, mid long, bare long")
+    c = e.groupBy("word").agg(*(F.sum(x).alias(x) for x in ("low", "cap", "start", "mid", "bare")))
     abbr = c.filter("low >= 5 and low * 2 > cap").select(F.concat(F.lit("a\t"), "word").alias("word"))
     starts = c.filter("start >= 5 and start > mid").select(F.concat(F.lit("s\t"), "word").alias("word"))
-    return abbr.unionAll(starts)
+    plain = c.filter(f"bare >= {BARE_CORPUS} and bare > 4 * (low + cap) and length(word) > 1 and not (low >= 5 and low * 2 > cap)").select(F.concat(F.lit("o\t"), "word").alias("word"))
+    return stored(abbr.unionAll(plain).unionAll(starts))
 
 
 def _segmenter(shared):
@@ -404,13 +440,18 @@ def _segmenter(shared):
     return run
 
 
-def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start_char, end_char) of each sentence unit. Null, empty and blank texts give none."""
+def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int | None = None) -> DataFrame:
+    """(doc_id, start_char, end_char) of each sentence unit. Null, empty and blank texts give none.
+
+    Up to `limit` corpus words (LIMIT if none is given) go to every worker; beyond it each document gets those that it asks for by a join. Both
+    give the same units.
+    """
     src = docs.filter(has_text(F.col(text_col))).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    src, limit = spread(src, "id"), LIMIT if limit is None else limit
     known = corpus_words(docs, text_col)
-    words = [r[0] for r in known.limit(LIMIT + 1).collect()]
+    words = [r[0] for r in known.limit(limit + 1).collect()]
     schema = "doc_id long, start_char long, end_char long"
-    if len(words) <= LIMIT:
+    if len(words) <= limit:
         shared = docs.sparkSession.sparkContext.broadcast(frozenset(words))
         return src.mapInArrow(_segmenter(shared), schema)
     keyed = arrow_map(src, "id long, words array<string>", lambda c: {"id": c["id"], "words": [sorted(asked(x)) for x in c["text"]]}).select("id", F.explode("words").alias("word"))

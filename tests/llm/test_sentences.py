@@ -107,3 +107,29 @@ def test_every_corpus_word_that_is_asked_for_is_listed(text):
 
     keys = S.asked(text)
     segment(text, Known())
+
+
+def test_a_document_outweighs_the_list():
+    from heddle.llm import sentences as S
+
+    text = "The Art hall opened. Some Art stays there, and more Art came. They sold the Art. Visitors left early."
+    ends = lambda document: [text[a:b] for a, b in S.segment(text, frozenset(), document)]
+    assert "They sold the Art." in ends(True) and "They sold the Art. Visitors left early." in ends(False)
+    # an abbreviation of this document alone
+    text = "The Zubr. of the town met. It heard the Zubr. Kolin report."
+    assert len(S.segment(text)) == 2 and len(S.segment(text, frozenset(), False)) > 2
+
+
+def test_a_corpus_outweighs_the_list():
+    from heddle.llm import sentences as S
+
+    text = "They asked the Vol. Nobody came."
+    assert len(S.segment(text)) == 1 and len(S.segment(text, {"o\tVol"})) == 2
+
+
+def test_both_branches_agree_on_whole_tables(spark, sf):
+    from heddle.llm import sentences as S
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    a, b = (sorted(map(tuple, S.sentences(docs, limit=n).collect())) for n in (50_000, 0))
+    assert a == b and a
