@@ -419,10 +419,11 @@ def corpus_words(docs: DataFrame, text_col: str) -> DataFrame:
     """(word): 'a' and a tab before abbreviations, 'o' and a tab before listed ones that are ordinary words here, 's' and a tab before words that open sentences, by counts over all documents."""
     e = docs.filter(has_text(F.col(text_col))).select(F.col(text_col).alias("text")).transform(lambda d: spread(d, "text")).mapInArrow(_evidence, "word string, low long, cap long, start long, mid long, bare long")
     c = e.groupBy("word").agg(*(F.sum(x).alias(x) for x in ("low", "cap", "start", "mid", "bare")))
-    abbr = c.filter("low >= 5 and low * 2 > cap").select(F.concat(F.lit("a\t"), "word").alias("word"))
-    starts = c.filter("start >= 5 and start > mid").select(F.concat(F.lit("s\t"), "word").alias("word"))
-    plain = c.filter(f"bare >= {BARE_CORPUS} and bare > 4 * (low + cap) and length(word) > 1 and not (low >= 5 and low * 2 > cap)").select(F.concat(F.lit("o\t"), "word").alias("word"))
-    return stored(abbr.unionAll(plain).unionAll(starts))
+    abbr = F.expr("low >= 5 and low * 2 > cap")
+    plain = F.expr(f"bare >= {BARE_CORPUS} and bare > 4 * (low + cap) and length(word) > 1") & ~abbr
+    starts = F.expr("start >= 5 and start > mid")
+    known = F.array(*[F.when(x, F.concat(F.lit(mark + "\t"), "word")) for mark, x in (("a", abbr), ("o", plain), ("s", starts))])
+    return stored(c.select(F.explode(known).alias("word")).filter("word is not null"))
 
 
 def _segmenter(shared):
