@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import problems, q_more, q_rows, q_streams, q_tables, registry  # noqa: F401
+from .plans import problems, q_fits, q_more, q_rows, q_streams, q_tables, registry  # noqa: F401
 
 flagship = q_tables.flagship
 QUERIES: dict = {**registry.QUERIES, **problems.QUERIES}

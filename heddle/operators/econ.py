@@ -51,22 +51,50 @@ def chi2_1_tail(x: float) -> float:
 # ------------------------------------------------------------------ regressions
 
 
-def within(df: DataFrame, cols: list[str], fe1: str, fe2: str, sweeps: int = 12) -> DataFrame:
-    """Columns less their means by fe1 and fe2 in turn, `sweeps` times; exact after one sweep on a balanced panel.
+PAIRS = 2_000_000  # different pairs of groups whose counts the driver may hold
+GUARD = 200  # rows below which nothing is fitted
 
-    Every few sweeps the lineage is cut by a checkpoint in the shared folder.
+
+def within(df: DataFrame, cols: list[str], fe1: str, fe2: str, sweeps: int = 12, pairs: int = PAIRS) -> DataFrame:
+    """Columns less their means by fe1 and fe2 in turn, `sweeps` times; exact after one sweep on a balanced panel. The columns must hold no nulls.
+
+    A sweep changes effects of groups only, x - a[fe1] - b[fe2]: rows stay where they are, and what moves is one mean a
+    group, combined on the map side. The sweeps run on the groups' sums and the counts of their pairs where these are
+    few, and else as aggregates of the stored rows; both give the same effects.
     """
-    from .dedup import _shared
-
-    _shared(df)
-    out = df
-    for k in range(sweeps):
-        for fe in (fe1, fe2):
-            w = Window.partitionBy(fe)
-            out = out.select(*[c for c in out.columns if c not in cols], *[(F.col(c) - F.avg(c).over(w)).alias(c) for c in cols])
-        if k % 4 == 3:
-            out = out.checkpoint()
-    return out
+    from .joins import stored
+
+    rows = stored(df)
+    counts = rows.groupBy(fe1, fe2).agg(F.count(F.lit(1)).alias("_n"))
+    sums = [F.sum(F.col(c).cast("double")).alias(c) for c in cols]
+    if counts.count() <= pairs:
+        n, s1, s2 = counts.toPandas(), rows.groupBy(fe1).agg(*sums, F.count(F.lit(1)).alias("_n")).toPandas(), rows.groupBy(fe2).agg(*sums, F.count(F.lit(1)).alias("_n")).toPandas()
+        i, j = pd.Index(s1[fe1]).get_indexer(n[fe1]), pd.Index(s2[fe2]).get_indexer(n[fe2])
+        w, a, b = n["_n"].to_numpy(float), np.zeros((len(s1), len(cols))), np.zeros((len(s2), len(cols)))
+        for _ in range(sweeps):
+            for x, s, own, y, other in ((a, s1, i, b, j), (b, s2, j, a, i)):
+                for k, c in enumerate(cols):
+                    x[:, k] = (s[c].to_numpy(float) - np.bincount(own, weights=w * y[other, k], minlength=len(s))) / s["_n"].to_numpy(float)
+        effects = []
+        for fe, s, x in ((fe1, s1, a), (fe2, s2, b)):
+            schema = f"{fe} {df.schema[fe].dataType.simpleString()}" + "".join(f", _{fe}_{k} double" for k in range(len(cols)))
+            values = [(key, *row) for key, row in zip(s[fe].astype(object).where(s[fe].notna(), None), x.tolist())]
+            effects.append(F.broadcast(df.sparkSession.createDataFrame(values, schema)))  # at most `pairs` rows
+    else:
+        effects = [None, None]
+        for _ in range(sweeps):
+            for k, fe in enumerate((fe1, fe2)):
+                x = rows if effects[1 - k] is None else _less(rows, effects[1 - k], (fe1, fe2)[1 - k], cols)
+                effects[k] = stored(x.groupBy(fe).agg(*[F.avg(c).alias(f"_{fe}_{m}") for m, c in enumerate(cols)]))
+    for fe, e in zip((fe1, fe2), effects):
+        rows = _less(rows, e, fe, cols)
+    return rows.select(*df.columns)
+
+
+def _less(rows: DataFrame, effects: DataFrame, fe: str, cols: list[str]) -> DataFrame:
+    """Columns less the effects of their group; a null group is one as well."""
+    e = effects.withColumnRenamed(fe, "_key")
+    return rows.join(e, rows[fe].eqNullSafe(e["_key"]), "left").select(*[c for c in rows.columns if c not in cols], *[(F.col(c) - F.col(f"_{fe}_{k}")).alias(c) for k, c in enumerate(cols)])
 
 
 def _products(xs: list[str], y: str) -> list[Column]:
@@ -103,34 +131,40 @@ def _meat(scored: DataFrame, xs: list[str], by: str | None) -> tuple[np.ndarray,
     return _matrix(r, len(xs)), r["n"]
 
 
-def panel_fit(df: DataFrame, y: str, xs: list[str], firm: str, day: str, sweeps: int = 12, cluster: bool = True) -> dict:
-    """Two-way fixed effects with errors clustered by firm and day.
+def panel_fit(df: DataFrame, y: str, xs: list[str], firm: str, day: str, sweeps: int = 12, cluster: bool = True, least: int = 0, corrected: bool = True) -> dict | None:
+    """Two-way fixed effects with errors clustered by firm and day; None with fewer than `least` complete rows.
 
-    V = firm + day - intersection; where a variance comes out negative the firm
-    clusters alone are used. Rows with a null or NaN in any used column are left out.
+    V = (firm + day - intersection) (N - 1) / (N - K - firms - days + 1), by clusters of firm alone where a variance comes
+    out negative; without clusters V has the residual variance over N - K. Corrected, the firm and day terms are also
+    multiplied by G / (G - 1) for their G clusters, and the plain variance has the effects' degrees of freedom taken off.
+    Rows with a null or NaN in any used column are left out.
     """
+    from .joins import stored
+
     use = [y, *xs]
     ok = F.lit(True)
     for c in use:
         ok = ok & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
     d = df.filter(ok & F.col(firm).isNotNull() & F.col(day).isNotNull()).select(firm, day, *[F.col(c).cast("double").alias(c) for c in use])
-    w = within(d, use, firm, day, sweeps)
+    w = stored(within(d, use, firm, day, sweeps))
     beta, inv, n, yy = ols(w, y, xs)
+    if n < least:
+        return None
+    k = len(xs)
     e = F.col(y) - sum(F.col(x) * F.lit(float(b)) for x, b in zip(xs, beta))
     scored = w.withColumn("_e", e).select(firm, day, F.col("_e"), *[(F.col(x) * F.col("_e")).alias(f"s_{i}") for i, x in enumerate(xs)])
     rss = scored.agg(F.sum(F.col("_e") * F.col("_e"))).collect()[0][0] or 0.0
     mf, nf = _meat(scored, xs, firm)
     md, nd = _meat(scored, xs, day)
-    k, dof_fe = len(xs), nf + nd - 1
-    dof = max(n - k - dof_fe, 1)
     if cluster:
         mi, _ = _meat(scored.groupBy(firm, day).agg(*[F.sum(f"s_{i}").alias(f"s_{i}") for i in range(k)]), xs, None)
-        adj = lambda g: g / max(g - 1, 1) * (n - 1) / dof
-        v = inv @ (adj(nf) * mf + adj(nd) * md - (n - 1) / dof * mi) @ inv
+        adjust = (n - 1) / max(n - k - nf - nd + 1, 1)
+        more = lambda g: g / max(g - 1, 1) if corrected else 1.0
+        v = adjust * inv @ (more(nf) * mf + more(nd) * md - mi) @ inv
         if (np.diag(v) < 0).any():
-            v = inv @ (adj(nf) * mf) @ inv
+            v = adjust * inv @ (more(nf) * mf) @ inv
     else:
-        v = inv * rss / dof
+        v = inv * rss / max(n - k - (nf + nd - 1 if corrected else 0), 1)
     se = np.sqrt(np.maximum(np.diag(v), 0))
     t = np.divide(beta, se, out=np.full(k, np.nan), where=se > 0)
     df_t = n - k - 1
@@ -140,6 +174,19 @@ def panel_fit(df: DataFrame, y: str, xs: list[str], firm: str, day: str, sweeps:
     }
 
 
+def fits(specs: list[tuple[str, DataFrame, str, list[str]]], firm: str, day: str, threads: int = 6) -> list[tuple[str, dict]]:
+    """(name, fit) of each spec (name, rows, outcome, regressors) that has rows enough; specs run side by side."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+
+    if not specs:
+        return []
+    with ThreadPoolExecutor(threads) as pool:
+        run = inheritable_thread_target(specs[0][1].sparkSession)(lambda s: (s[0], panel_fit(s[1], s[2], s[3], firm, day, least=GUARD, corrected=False)))
+        return [f for f in pool.map(run, specs) if f[1] is not None]
+
+
 def wald_equal(fit: dict, a: str, b: str) -> tuple[float, float]:
     """Chi-square with one degree of freedom, and its p, for equal coefficients."""
     i, j = fit["xs"].index(a), fit["xs"].index(b)
@@ -161,7 +208,7 @@ def result_rows(spark, fits: list[tuple[str, dict]]) -> DataFrame:
 # ------------------------------------------------------------------ series
 
 
-def rolling_arx(order: str, y: str, xs: list[str], p: int, w: int, least: int):
+def one_step(order: str, y: str, xs: list[str], p: int, w: int, least: int):
     """A function for applyInPandas: one-step forecasts of one series from a constant, p lags and lagged regressors over the w rows before."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -193,7 +240,7 @@ def arx(df: DataFrame, key: str, order: str, y: str, xs: list[str], p: int, w: i
     """Adds forecast, innovation and in-sample r2 to each series; series are parallel, one is as long as its calendar."""
     keep = df.select(key, order, y, *xs)
     schema = f"{keep.schema.simpleString()[7:-1].replace(':', ' ')}, forecast double, innovation double, r2 double"
-    return keep.groupBy(key).applyInPandas(rolling_arx(order, y, xs, p, w, least), schema)
+    return keep.groupBy(key).applyInPandas(one_step(order, y, xs, p, w, least), schema)
 
 
 def ar1(df: DataFrame, key: str, order: str, y: str, w: int, least: int) -> DataFrame:
@@ -224,6 +271,12 @@ def cumulative(study: DataFrame) -> DataFrame:
     return study.withColumn("car", F.sum("mean_ar").over(w)).withColumn("car_se", F.sqrt(F.sum(F.col("se") * F.col("se")).over(w)))
 
 
+def contrast(study: DataFrame, a: str, b: str) -> DataFrame:
+    """(tau, mean_<a>, mean_<b>, diff, se_diff): two groups' means and their difference, its error as of independent ones."""
+    x, y = (study.filter(F.col("grp") == g).select("tau", F.col("mean_ar").alias(f"mean_{g}"), F.when(F.col("n_events") > 1, F.col("se")).alias(f"_{k}")) for k, g in enumerate((a, b)))
+    return x.join(y, "tau").select("tau", f"mean_{a}", f"mean_{b}", (F.col(f"mean_{a}") - F.col(f"mean_{b}")).alias("diff"), F.sqrt(F.col("_0") * F.col("_0") + F.col("_1") * F.col("_1")).alias("se_diff"))
+
+
 def window_cars(study: DataFrame, spans: list[tuple[int, int]]) -> DataFrame:
     """(grp, span, car, t) over windows of tau."""
     s = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in spans])).alias("s")

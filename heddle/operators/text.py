@@ -129,6 +129,24 @@ def alias_scan(docs: DataFrame, id_col: str, text_col: str, aliases: list[tuple[
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, key string")
 
 
+def alias_blocks(docs: DataFrame, id_col: str, text_col: str, aliases: DataFrame, key: str, alias: str, block: int = 200_000) -> DataFrame:
+    """alias_scan for a table of aliases of any length: no automaton holds more than about `block` of them, each block scans the texts once."""
+    a = aliases.filter(F.col(key).isNotNull() & F.col(alias).isNotNull() & (F.col(alias) != "")).select(F.col(key).cast("string"), F.col(alias)).distinct()
+    blocks = max(1, -(-a.count() // block))
+    out = None
+    for k in range(blocks):
+        part = [(r[0], r[1]) for r in a.filter(F.pmod(F.xxhash64(alias), F.lit(blocks)) == k).collect()]  # about `block` rows
+        one = alias_scan(docs, id_col, text_col, part)
+        out = one if out is None else out.unionByName(one)
+    return out if blocks == 1 else out.distinct()
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two arrays of doubles; null where one has no length."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u * v), F.lit(0.0), lambda s, t: s + t)
+    return F.try_divide(dot(a, b), F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0)))
+
+
 def scoring_text(title: Column, body: Column, n: int) -> Column:
     """Title, full stop, body, the first n characters (the cut is the feature)."""
     return F.substring(F.concat_ws("。", title, body), 1, n)

@@ -70,7 +70,7 @@ def _(spark, d):
 def _(spark, d):
     t = table(spark, d, "events")
     src, out, ck = _shared(t), _shared(t), _shared(t)
-    t.select("event_type", "event_id").coalesce(1).write.parquet(src)
+    t.select("event_type", "event_id").repartition(4, "event_id").write.parquet(src)
     streams.run_available(streams.running_rank(streams.parquet_stream(spark, src), "event_type", "event_id"), out, ck)
     return spark.read.parquet(out).select("event_type", "event_id", "rank")
 
@@ -90,3 +90,14 @@ def _(spark, d):
 def _(spark, d):
     c = {"all": F.col("embedding"), "first half": F.slice("embedding", 1, 32), "second half": F.slice("embedding", 33, 32)}
     return models.ablation(_labelled(spark, d), "vec_id", c, "y", F.pmod(F.xxhash64("vec_id"), F.lit(5)) == 0)
+
+
+@query("snk06_state", "SELECT max(news_id) AS last_id, count(*) AS seen FROM news")
+def _(spark, d):
+    t = table(spark, d, "news")
+    path = _shared(t)
+    K.save_state(spark, path, {"last_id": -1, "seen": 0})
+    n = t.agg(F.max("news_id").alias("last_id"), F.count(F.lit(1)).alias("seen")).collect()[0]  # one row
+    K.save_state(spark, path, n.asDict())
+    got = K.load_state(spark, path)
+    return spark.createDataFrame([(got["last_id"], got["seen"])], "last_id long, seen long")

@@ -109,7 +109,12 @@ def _(spark, d):
 def _(spark, d):
     n = table(spark, d, "news")
     old = n.filter("source is null and uuid is not null").select("uuid")
-    return n.join(old, "uuid", "left_anti").groupBy("uuid").agg(F.min("news_id").alias("n")).select("n", "uuid")
+    from ..operators.dedup import _shared
+
+    path = _shared(n)
+    old.distinct().select("uuid", F.lit(None).cast("long").alias("n")).write.parquet(path)
+    K.insert_new(n.filter("uuid is not null").groupBy("uuid").agg(F.min("news_id").alias("n")), path, ["uuid"])
+    return spark.read.parquet(path).filter("n is not null").select("n", "uuid")
 
 
 @query("snk09_relabel", "SELECT s_suppkey, CASE s_nationkey WHEN 1 THEN 'one' WHEN 2 THEN 'two' ELSE CAST(s_nationkey AS VARCHAR) END AS nat FROM supplier")
@@ -444,31 +449,43 @@ def _(spark, d):
 
 
 def _pages(spark, d):
+    """Articles as pages whose title, day, JSON-LD and links stand in another place from row to row."""
     a = table(spark, d, "articles")
+    clean = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"[<>&'\"\\\\]", " ")
+    k, day = F.pmod("article_id", F.lit(4)), F.date_format("retrieved_at", "yyyy-MM-dd")
+    title = clean(F.col("title"))
+    pick = lambda *cs: F.when(k == 0, cs[0]).when(k == 1, cs[1]).when(k == 2, cs[2]).otherwise(cs[3])
+    cat, none = F.concat, F.lit("")
+    head = pick(cat(F.lit("<meta property='og:title' content='"), title, F.lit("'>")), cat(F.lit("<meta name='twitter:title' content='"), title, F.lit("'>")), none, none)
+    head_day = pick(cat(F.lit("<meta property='article:published_time' content='"), day, F.lit("T01:02:03Z'>")), none, none, none)
+    ld = cat(F.lit('<script type="application/ld+json">{"@graph":[{"@type":"NewsArticle","headline":"h'), F.col("article_id").cast("string"), F.lit('"'), pick(none, cat(F.lit(',"datePublished":"'), day, F.lit('T01:00:00Z"')), none, none), F.lit(',"publisher":{"name":"'), clean(F.col("source")), F.lit('"}}]}</script>'))
+    top = pick(none, none, cat(F.lit("<h1>"), title, F.lit("</h1>")), none)
+    when = pick(none, none, cat(F.lit("<time datetime='"), day, F.lit("'></time>")), none)
     body = F.regexp_replace(F.coalesce("content", F.lit("")), "[<>&]", " ")
     paras = F.array_join(F.transform(F.split(body, "\n"), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), "")
-    html = F.concat(
-        F.lit("<html><head><title>site</title><meta property='og:title' content='"), F.regexp_replace(F.coalesce("title", F.lit("")), "[<>&'\"]", " "), F.lit("'><script>var a='</p>';</script>"),
-        F.lit('<script type="application/ld+json">{"@graph":[{"@type":"NewsArticle","headline":"h","datePublished":"2024-02-03T01:00:00Z","publisher":{"name":"x"}}]}</script></head><body><nav><a href="/n">n</a></nav><article>'),
-        paras, F.lit("</article><footer>f</footer></body></html>"),
-    )
-    return a.select("article_id", F.concat(F.col("url"), F.lit("#"), F.col("article_id").cast("string")).alias("url"), html.alias("html"), "title", "content")
+    link = cat(F.lit("<nav><a href='/n/"), F.pmod("article_id", F.lit(7)).cast("string"), F.lit("'>n</a><a href='https://other.example/"), F.col("language"), F.lit("'>o</a></nav>"))
+    html = cat(F.lit("<html><head><title>"), title, F.lit("</title>"), head, head_day, F.lit("<script>var a='</p>';</script>"), ld, F.lit("</head><body>"), link, top, when, F.lit("<article>"), paras, F.lit("</article><footer>f</footer></body></html>"))
+    host = F.regexp_extract("url", "^([a-z]+://[^/]+)", 1)
+    url = F.concat(host, pick(none, none, none, cat(F.lit("/"), F.date_format("retrieved_at", "yyyy/MM/dd"))), F.lit("/p#"), F.col("article_id").cast("string"))
+    return a.select("article_id", url.alias("url"), html.alias("html"), "title", "content")
+
+
+PAGE_URL = "regexp_extract(url, '^([a-z]+://[^/]+)', 1) || CASE WHEN article_id % 4 = 3 THEN strftime(retrieved_at, '/%Y/%m/%d') ELSE '' END || '/p#' || CAST(article_id AS VARCHAR)"
 
 
-@query("htm01_page_title", "SELECT url || '#' || CAST(article_id AS VARCHAR) AS url, nullif(trim(regexp_replace(coalesce(title, ''), '[<>&''\"]', ' ', 'g')), '') IS NOT NULL AS titled FROM articles")
+@query("htm01_page_title", f"SELECT {PAGE_URL} AS url, nullif(trim(regexp_replace(regexp_replace(coalesce(title, ''), '[<>&''\"\\\\]', ' ', 'g'), '[\\s\\p{Z}]+', ' ', 'g')), '') AS title FROM articles")
 def _(spark, d):
-    p = H.pages(_pages(spark, d), "url", "html")
-    return p.select("url", (F.coalesce("title", F.lit("site")) != "site").alias("titled"))
+    return H.pages(_pages(spark, d), "url", "html").select("url", F.nullif(F.trim(F.regexp_replace("title", r"\s+", " ")), F.lit("")).alias("title"))
 
 
-@query("htm02_page_day", "SELECT CAST('2024-02-03' AS VARCHAR) AS day, count(*) AS n FROM articles")
+@query("htm02_page_day", f"SELECT {PAGE_URL} AS url, strftime(retrieved_at, '%Y-%m-%d') AS day FROM articles")
 def _(spark, d):
-    return H.pages(_pages(spark, d), "url", "html").groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+    return H.pages(_pages(spark, d), "url", "html").select("url", "day")
 
 
-@query("htm03_json_ld", "SELECT 'h' AS headline, 'x' AS publisher, count(*) AS n FROM articles")
+@query("htm03_json_ld", f"SELECT {PAGE_URL} AS url, 'h' || article_id AS headline, regexp_replace(coalesce(source, ''), '[<>&''\"\\\\]', ' ', 'g') AS publisher FROM articles")
 def _(spark, d):
-    return H.pages(_pages(spark, d), "url", "html").groupBy("headline", "publisher").agg(F.count(F.lit(1)).alias("n"))
+    return H.pages(_pages(spark, d), "url", "html").select("url", "headline", "publisher")
 
 
 @query("htm04_page_body")
@@ -476,6 +493,6 @@ def _(spark, d):
     return H.pages(_pages(spark, d), "url", "html").select("url", F.length("body").alias("n"))
 
 
-@query("htm05_links", "SELECT regexp_extract(url, '^([a-z]+://[^/]+)', 1) || '/n' AS link, count(*) AS n FROM articles GROUP BY 1")
+@query("htm05_links", "SELECT regexp_extract(url, '^([a-z]+://[^/]+)', 1) || '/n/' || (article_id % 7) AS link, count(*) AS n FROM articles GROUP BY 1 UNION ALL SELECT 'https://other.example/' || language, count(*) FROM articles GROUP BY 1")
 def _(spark, d):
     return H.links(_pages(spark, d), "url", "html").groupBy("link").agg(F.count(F.lit(1)).alias("n"))

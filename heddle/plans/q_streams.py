@@ -42,25 +42,36 @@ def _(spark, d):
 
 @query("stm03_tumbling", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def _(spark, d):
-    s = S.tumbling(_events(spark, d), "ts", ["event_type"], "1 day", "10 minutes", n=F.count(F.lit(1)))
-    out, ck = _shared(table(spark, d, "events")), _shared(table(spark, d, "events"))
-    q = s.writeStream.format("memory").queryName("stm03").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", ck).start()
-    q.awaitTermination()
-    spark.table("stm03").write.parquet(out)
-    return spark.read.parquet(out).select(F.col("bucket").cast("date").cast("string").alias("day"), "event_type", "n")
+    x = _whole(spark, d, lambda e: S.tumbling(e, "ts", ["event_type"], "1 day", "10 minutes", n=F.count(F.lit(1))))
+    return x.select(F.col("bucket").cast("date").cast("string").alias("day"), "event_type", "n")
+
+
+def _whole(spark, d, form):
+    """A windowed form of the events stream, run to its end into a table."""
+    t = table(spark, d, "events")
+    out, ck = _shared(t), _shared(t)
+    S.run_complete(form(_events(spark, d)), out, ck)
+    return spark.read.parquet(out)
 
 
 @query("stm05_sessions", "WITH e AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS s FROM events) SELECT user_id, sum(s)::BIGINT AS sessions FROM e GROUP BY 1")
 def _(spark, d):
-    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.groupBy(F.session_window("ts", "6 hours"), "user_id").agg(F.count(F.lit(1)).alias("n")).groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"))
+    x = _whole(spark, d, lambda e: S.sessions(e, "ts", ["user_id"], "6 hours", "1 day", n=F.count(F.lit(1))))
+    return x.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"))
 
 
 @query("stm04_sliding", "WITH s AS (SELECT unnest(generate_series(date_trunc('day', ts), date_trunc('day', ts) + INTERVAL 6 DAY, INTERVAL 1 DAY)) AS e FROM events) SELECT CAST(CAST(e AS DATE) AS VARCHAR) AS day, count(*) AS n FROM s GROUP BY 1")
 def _(spark, d):
-    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    w = e.groupBy(F.window("ts", "7 days", "1 day")).agg(F.count(F.lit(1)).alias("n"))
-    return w.select(F.date_sub(F.col("window.end").cast("date"), 1).cast("string").alias("day"), "n")
+    x = _whole(spark, d, lambda e: S.sliding(e, "ts", [], "7 days", "1 day", "1 day", n=F.count(F.lit(1))))
+    return x.select(F.date_sub(F.col("at").cast("date"), 1).cast("string").alias("day"), "n")
+
+
+@query("stm02_distinct_within", "SELECT user_id, event_type, 1::BIGINT AS n FROM events GROUP BY 1, 2")
+def _(spark, d):
+    t = table(spark, d, "events")
+    out, ck = _shared(t), _shared(t)
+    S.run_available(S.distinct_within(_events(spark, d), "ts", ["user_id", "event_type"], "60 days"), out, ck)  # a reach longer than the table
+    return spark.read.parquet(out).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("stm07_side_output", "SELECT 'good' AS kind, count(*) AS n FROM news WHERE title IS NOT NULL UNION ALL SELECT 'bad', count(*) FROM news WHERE title IS NULL")

@@ -501,14 +501,16 @@ def _(spark, d):
 @query("txt12_mentions", "SELECT DISTINCT article_id, thscode FROM articles, (SELECT thscode, unnest(alias) AS a FROM firm_master) WHERE a <> '' AND contains(content, a)")
 def _(spark, d):
     # a dictionary of firms, read by every worker's automaton
-    al = [(r["thscode"], r["a"]) for r in table(spark, d, "firm_master").select("thscode", F.explode("alias").alias("a")).filter("a <> ''").collect()]
-    return T.alias_scan(table(spark, d, "articles"), "article_id", "content", al).select(F.col("id").alias("article_id"), F.col("key").alias("thscode"))
+    al = table(spark, d, "firm_master").select("thscode", F.explode("alias").alias("a"))
+    return T.alias_blocks(table(spark, d, "articles"), "article_id", "content", al, "thscode", "a").select(F.col("id").alias("article_id"), F.col("key").alias("thscode"))
 
 
-@query("txt13_vector_scores", "SELECT a.label, round(avg(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])), 4) AS norm2 FROM embeddings a GROUP BY 1")
+@query("txt13_vector_scores", "WITH q AS (SELECT label AS cls, k, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings) GROUP BY 1, 2), c AS (SELECT cls, list(m ORDER BY k) AS v FROM q GROUP BY 1) SELECT vec_id, cls, round(list_dot_product(embedding::DOUBLE[], v) / nullif(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(v, v)), 0), 5) AS score FROM embeddings, c")
 def _(spark, d):
-    dot = F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    return table(spark, d, "embeddings").groupBy("label").agg(r4(F.avg(dot)).alias("norm2"))
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+    mean = e.select("label", F.posexplode("e").alias("k", "x")).groupBy("label", "k").agg(F.avg("x").alias("m"))
+    v = mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda s: s["m"]).alias("v")).withColumnRenamed("label", "cls")
+    return e.join(F.broadcast(v)).select("vec_id", "cls", F.round(T.cosine(F.col("e"), F.col("v")), 5).alias("score"))  # as many vectors as classes
 
 
 @query("txt14_source_class", "SELECT article_id, CASE WHEN regexp_matches(source, '财讯|证券|Markets') THEN 'finance' WHEN regexp_matches(source, '科技|数码|Tech') THEN 'tech' ELSE 'other' END AS cls FROM articles")
@@ -549,23 +551,6 @@ def _(spark, d):
     return g.select(text("bucket"), "ln_n", D.is_weekday(F.col("bucket"), 0).alias("mon"), D.is_weekday(F.col("bucket"), 4).alias("fri"))
 
 
-XS = ["gx", "cx"]
-
-
-def _reg(spark, d):
-    p = panel(spark, d)
-    return p.select("firm", F.col("date").alias("day"), "ar", "mar", "ret", "category", "GCS", "UGCS_std", (F.col("L_GPUExposure") * F.col("UGCS_std")).alias("gx"), (F.col("L_CPUExposure") * F.col("UGCS_std")).alias("cx"), "L_turnover_w", "L_size_w", "L_GPUExposure", "L_CPUExposure")
-
-
-@query("eco04_within", f"""WITH {PANEL}, a0 AS (SELECT panel_id, firm, date, L_turnover_w AS x FROM panel WHERE L_turnover_w IS NOT NULL),
-a1 AS (SELECT panel_id, firm, date, x - avg(x) OVER (PARTITION BY firm) AS x FROM a0), b1 AS (SELECT panel_id, firm, date, x - avg(x) OVER (PARTITION BY date) AS x FROM a1),
-a2 AS (SELECT panel_id, firm, date, x - avg(x) OVER (PARTITION BY firm) AS x FROM b1), b2 AS (SELECT panel_id, firm, date, x - avg(x) OVER (PARTITION BY date) AS x FROM a2)
-SELECT panel_id, round(x, 6) AS x FROM b2""")
-def _(spark, d):
-    p = panel(spark, d).filter("L_turnover_w is not null").select("panel_id", "firm", "date", F.col("L_turnover_w").alias("x"))
-    return E.within(p, ["x"], "firm", "date", 2).select("panel_id", r6(F.col("x")).alias("x"))
-
-
 @query("eco05_ols", f"WITH {PANEL} SELECT round(regr_slope(ar, mar), 6) AS slope, round(regr_intercept(ar, mar), 6) AS intercept, regr_count(ar, mar) AS n FROM panel")
 def _(spark, d):
     p = panel(spark, d).filter("ar is not null and mar is not null").select("ar", "mar", F.lit(1.0).alias("one"))
@@ -573,77 +558,58 @@ def _(spark, d):
     return spark.createDataFrame([(round(float(b[0]), 6), round(float(b[1]), 6), n)], "slope double, intercept double, n long")
 
 
-@query("eco06_two_way_clusters")
-def _(spark, d):
-    return E.result_rows(spark, [("clustered", E.panel_fit(_reg(spark, d), "ar", XS, "firm", "day"))])
-
-
-@query("eco07_plain_errors")
-def _(spark, d):
-    return E.result_rows(spark, [("plain", E.panel_fit(_reg(spark, d), "ar", XS, "firm", "day", cluster=False))])
-
-
-@query("eco08_tests")
-def _(spark, d):
-    return E.result_rows(spark, [("mar", E.panel_fit(_reg(spark, d), "mar", XS, "firm", "day"))]).select("var", "t", "p", "lo", "hi", "within_r2")
-
-
-@query("eco09_wald")
-def _(spark, d):
-    x, p = E.wald_equal(E.panel_fit(_reg(spark, d), "ar", XS, "firm", "day"), *XS)
-    return spark.createDataFrame([(float(x), float(p))], "chi2 double, p double")
-
-
-def _horizons(spark, d):
-    r = _reg(spark, d)
-    for h in (1, 3, 5):
-        r = r.withColumn(f"car{h}", R.forward_sum(F.col("ar"), ["firm"], ["day"], h))
-    return r
-
-
-@query("eco10_horizons")
+@query("eco13_event_study", f"WITH {STUDY} SELECT tau, round(mean_ar, 5) AS mean_ar, round(se, 5) AS se, n_events FROM study")
 def _(spark, d):
-    r = _horizons(spark, d)
-    return E.result_rows(spark, [(y, E.panel_fit(r, y, XS, "firm", "day", sweeps=6)) for y in ("ar", "car1", "car3", "car5")])
+    return _study(spark, d).select(F.col("tau").cast("bigint").alias("tau"), F.round("mean_ar", 5).alias("mean_ar"), F.round("se", 5).alias("se"), "n_events")
 
 
-@query("eco11_extremes")
-def _(spark, d):
-    r = _reg(spark, d)
-    q = r.select("day", "UGCS_std").distinct().agg(F.percentile("UGCS_std", F.lit(0.9)).alias("q"))
-    x = r.join(F.broadcast(q)).withColumn("gh", F.col("gx") * F.coalesce(F.col("UGCS_std") >= F.col("q"), F.lit(False)).cast("int")).withColumn("g2", F.col("gx") * F.col("UGCS_std"))
-    return E.result_rows(spark, [("high", E.panel_fit(x, "ar", [*XS, "gh"], "firm", "day", sweeps=6)), ("square", E.panel_fit(x, "ar", [*XS, "g2"], "firm", "day", sweeps=6))])
+CONTRAST = f"{PANEL}, cal AS (SELECT day, row_number() OVER (ORDER BY day) AS tpos FROM (SELECT DISTINCT CAST(date AS DATE) AS day FROM panel)), top AS (SELECT CAST(date AS DATE) AS day, max(GCS) AS s FROM panel GROUP BY 1), ev AS (SELECT thr, tpos, row_number() OVER (PARTITION BY thr ORDER BY tpos) AS event, tpos - lag(tpos) OVER (PARTITION BY thr ORDER BY tpos) AS gap FROM top JOIN cal USING (day), (SELECT 'top10' AS thr, quantile_cont(s, 0.9) AS q FROM top UNION ALL SELECT 'top05', quantile_cont(s, 0.95) FROM top) WHERE s >= q), kept AS (SELECT * FROM ev WHERE gap >= 3 OR gap IS NULL), q AS (SELECT quantile_cont(L_GPUExposure, 0.7) AS g, quantile_cont(L_CPUExposure, 0.7) AS c FROM panel), grp AS (SELECT DISTINCT firm, 'g' AS grp FROM panel, q WHERE L_GPUExposure > g UNION ALL SELECT DISTINCT firm, 'c' FROM panel, q WHERE L_CPUExposure > c), per AS (SELECT thr, grp, event, tau, avg(ar) AS m FROM kept, generate_series(-5, 20) t(tau), panel JOIN cal ON CAST(panel.date AS DATE) = cal.day JOIN grp USING (firm) WHERE cal.tpos = kept.tpos + tau GROUP BY 1, 2, 3, 4), st AS (SELECT thr, grp, tau, avg(m) AS m, CASE WHEN count(m) > 1 THEN var_samp(m) END / count(m) AS v FROM per GROUP BY 1, 2, 3)"
 
 
-@query("eco12_upper_tail")
+@query("eco13_contrast", f"WITH {CONTRAST} SELECT thr, tau, round(g.m, 6) AS mean_g, round(c.m, 6) AS mean_c, round(g.m - c.m, 6) AS diff, round(sqrt(g.v + c.v), 6) AS se_diff FROM (SELECT * FROM st WHERE grp = 'g') g JOIN (SELECT * FROM st WHERE grp = 'c') c USING (thr, tau)")
 def _(spark, d):
-    r = _reg(spark, d)
-    fits = []
-    for q in (0.5, 0.75):
-        cut = r.select("day", "GCS").distinct().agg(F.percentile("GCS", F.lit(q)).alias("q"))
-        fits.append((f"q{q}", E.panel_fit(r.join(F.broadcast(cut)).filter("GCS >= q"), "ar", XS, "firm", "day", sweeps=6)))
-    return E.result_rows(spark, fits)
+    p = panel(spark, d).withColumn("day", F.col("date").cast("date"))
+    q = p.agg(F.percentile("L_GPUExposure", F.lit(0.7)).alias("qg"), F.percentile("L_CPUExposure", F.lit(0.7)).alias("qc"))
+    ever = p.join(F.broadcast(q)).groupBy("firm").agg(F.max(F.col("L_GPUExposure") > F.col("qg")).alias("g"), F.max(F.col("L_CPUExposure") > F.col("qc")).alias("c"))
+    grp = ever.select("firm", F.explode(F.filter(F.array(F.when(F.col("g"), "g"), F.when(F.col("c"), "c")), lambda x: x.isNotNull())).alias("grp"))
+    rows = p.join(_calendar(spark, d), "day").join(grp, "firm")
+    top = p.groupBy("day").agg(F.max("GCS").alias("s"))
+    cuts = top.agg(F.percentile("s", F.lit(0.9)).alias("top10"), F.percentile("s", F.lit(0.95)).alias("top05")).unpivot([], ["top10", "top05"], "thr", "q")
+    ev = top.join(_calendar(spark, d), "day").join(F.broadcast(cuts)).filter("s >= q")
+    at = W.partitionBy("thr").orderBy("tpos")
+    ev = ev.withColumn("event", F.row_number().over(at)).withColumn("gap", F.col("tpos") - F.lag("tpos").over(at)).filter("gap >= 3 or gap is null")
+    out = None
+    for thr in ("top10", "top05"):
+        one = E.contrast(E.event_study(rows, ev.filter(F.col("thr") == thr), F.col("grp"), "ar", -5, 20), "g", "c")
+        one = one.select(F.lit(thr).alias("thr"), F.col("tau").cast("bigint").alias("tau"), *[r6(F.col(x)).alias(x) for x in ("mean_g", "mean_c", "diff", "se_diff")])
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-@query("eco13_event_study", f"WITH {STUDY} SELECT tau, round(mean_ar, 5) AS mean_ar, round(se, 5) AS se, n_events FROM study")
+@query("eco01_three_frequencies")
 def _(spark, d):
-    return _study(spark, d).select(F.col("tau").cast("bigint").alias("tau"), F.round("mean_ar", 5).alias("mean_ar"), F.round("se", 5).alias("se"), "n_events")
+    """The published settings: windows of 252 days, 52 weeks and 36 months, lags 5, 2 and 1, least 120, 30 and 24 rows."""
+    o = table(spark, d, "orders")
+    out = None
+    for unit, w, p, least in (("day", 252, 5, 120), ("week", 52, 2, 30), ("month", 36, 1, 24)):
+        s = o.groupBy(F.date_trunc(unit, "o_orderdate").cast("date").alias("bucket")).agg(F.avg("o_totalprice").alias("value"), F.log1p(F.count(F.lit(1))).alias("x")).withColumn("freq", F.lit(unit))
+        one = E.arx(s, "freq", "bucket", "value", ["x"], p, w, least).select("freq", text("bucket"), F.round("innovation", 3).alias("innovation"), F.round("r2", 6).alias("r2"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-@query("eco14_local_projections")
+@query("eco25_topic_innovation", f"WITH {NOTES}, t AS (SELECT source, strftime(date, '%Y-%m') AS bucket, count(*) AS n, ln(1 + count(*)) AS v FROM notes WHERE date IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2), l AS (SELECT *, lag(v) OVER (PARTITION BY source ORDER BY bucket) AS p, sum(n) OVER (PARTITION BY source) AS total FROM t) SELECT source, bucket, round(v - CASE WHEN regr_count(v, p) OVER w >= 12 THEN regr_intercept(v, p) OVER w + regr_slope(v, p) OVER w * p END, 4) AS innovation FROM l WHERE total >= 20 WINDOW w AS (PARTITION BY source ORDER BY bucket ROWS BETWEEN 36 PRECEDING AND 1 PRECEDING)")
 def _(spark, d):
-    p = panel(spark, d)
-    m = p.groupBy("firm", F.trunc("date", "month").alias("day")).agg(F.coalesce(F.sum("ar"), F.lit(0.0)).alias("ar"), *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("date"))).alias(c) for c in ("L_GPUExposure", "L_CPUExposure", "UGCS_std")])
-    m = m.withColumn("gx", F.col("L_GPUExposure") * F.col("UGCS_std")).withColumn("cx", F.col("L_CPUExposure") * F.col("UGCS_std"))
-    for h in (1, 2):
-        m = m.withColumn(f"lp{h}", R.forward_sum(F.col("ar"), ["firm"], ["day"], h, 1))
-    return E.result_rows(spark, [(f"month+{h}", E.panel_fit(m, f"lp{h}", XS, "firm", "day", sweeps=6)) for h in (1, 2)])
+    g = notes(spark, d).filter("date is not null and source is not null").groupBy("source", D.month_key(F.col("date")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.log1p(F.count(F.lit(1))).alias("v"))
+    c = g.withColumn("total", F.sum("n").over(W.partitionBy("source"))).filter("total >= 20")
+    return E.ar1(c, "source", "bucket", "v", 36, 12).select("source", "bucket", F.round("innovation", 4).alias("innovation"))
 
 
-@query("eco15_by_topic")
+@query("eco22_monthly_mix", "SELECT strftime(date, '%Y-%m') AS month, count(*) FILTER (category = 'G1') AS g1, count(*) FILTER (category = 'G2') AS g2, count(*) FILTER (category = 'G3') AS g3, count(*) FILTER (category = 'G4') AS g4 FROM panel_daily GROUP BY 1 HAVING count(*) >= 200")
 def _(spark, d):
-    r = _reg(spark, d)
-    return E.result_rows(spark, [(g, E.panel_fit(r.filter(F.col("category") == g), "ar", ["L_turnover_w", "L_size_w"], "firm", "day", sweeps=6)) for g in ("G1", "G2", "G3", "G4")])
+    p = table(spark, d, "panel_daily").withColumn("month", D.month_key(F.col("date")))
+    g = p.groupBy("month").pivot("category", ["G1", "G2", "G3", "G4"]).agg(F.count(F.lit(1))).join(p.groupBy("month").agg(F.count(F.lit(1)).alias("n")).filter("n >= 200"), "month")
+    return g.select("month", *[F.coalesce(x, F.lit(0)).alias(x.lower()) for x in ("G1", "G2", "G3", "G4")])
 
 
 @query("eco16_index_variants", f"WITH {SIGNAL}, v AS (SELECT 'mean' AS variant, source, bucket, avg(v) AS v FROM signal GROUP BY 2, 3 UNION ALL SELECT 'max', source, bucket, max(v) FROM signal GROUP BY 2, 3), z AS (SELECT variant, bucket, CASE WHEN count(v) OVER w >= 4 AND stddev_samp(v) OVER w > 1e-6 THEN greatest(-6, least(6, (v - avg(v) OVER w) / stddev_samp(v) OVER w)) END AS z FROM v WINDOW w AS (PARTITION BY variant, source ORDER BY bucket ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)) SELECT variant, CAST(bucket AS VARCHAR) AS bucket, round(avg(z), 5) AS z FROM z GROUP BY 1, 2")
@@ -654,34 +620,15 @@ def _(spark, d):
     return z.groupBy("variant", "bucket").agg(F.round(F.avg("z"), 5).alias("z")).select("variant", text("bucket"), "z")
 
 
-@query("eco17_exposure_variants")
-def _(spark, d):
-    r = _reg(spark, d)
-    base = R.first_value(r, "firm", ["L_GPUExposure", "L_CPUExposure"], "day").toDF("firm", "g0", "c0")
-    x = r.join(base, "firm").withColumn("g0x", F.col("g0") * F.col("UGCS_std")).withColumn("c0x", F.col("c0") * F.col("UGCS_std"))
-    return E.result_rows(spark, [("fixed base", E.panel_fit(x, "ar", ["g0x", "c0x"], "firm", "day", sweeps=6))])
-
-
 @query("eco18_placebo")
 def _(spark, d):
-    r = _reg(spark, d)
+    r = panel(spark, d).select(F.col("date").alias("day"), "ar", "UGCS_std", "L_GPUExposure", "L_CPUExposure")
     cal = r.groupBy("day").agg(F.max("UGCS_std").alias("u")).filter("u is not null")
     x = E.placebo(r, "ar", "L_GPUExposure", "L_CPUExposure", "day", cal, "u", 200, 11)
     real = x.filter("rep = -1").select(F.abs("delta").alias("real"))
     return x.filter("rep >= 0").join(F.broadcast(real)).agg(F.count(F.lit(1)).alias("reps"), F.avg((F.abs("delta") >= F.col("real")).cast("double")).alias("share"))
 
 
-@query("eco19_outcome_battery")
-def _(spark, d):
-    r = _reg(spark, d)
-    return E.result_rows(spark, [(y, E.panel_fit(r, y, ["gx", "cx", *c], "firm", "day", sweeps=6)) for y in ("ret", "mar") for c in ([], ["L_turnover_w"])])
-
-
-@query("eco20_detectable", "SELECT panel_id, round(abs(ar) * (1.959963985 + 0.841621234), 6) AS mdes FROM panel_daily")
-def _(spark, d):
-    return table(spark, d, "panel_daily").select("panel_id", r6(E.detectable(F.abs("ar"))).alias("mdes"))
-
-
 @query("eco21_multiple_tests", "WITH t(k, p) AS (VALUES (1, 0.01), (2, 0.04), (3, 0.03), (4, 0.2), (5, 0.005), (6, 0.5)), r AS (SELECT k, p, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS n FROM t) SELECT k, CAST(p AS DOUBLE) AS p, round(least(1.0, p * n), 6)::DOUBLE AS bonferroni, round(least(1.0, min(p * n / r) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING)), 6)::DOUBLE AS bh FROM r")
 def _(spark, d):
     t = spark.createDataFrame([(1, 0.01), (2, 0.04), (3, 0.03), (4, 0.2), (5, 0.005), (6, 0.5)], "k int, p double")

@@ -22,6 +22,12 @@ def run_available(stream: DataFrame, sink: str, checkpoint: str, mode: str = "ap
         raise q.exception()
 
 
+def run_complete(stream: DataFrame, sink: str, checkpoint: str) -> None:
+    """Keeps the whole aggregate in a table, written anew by the executors after each micro-batch, and stops when all is read."""
+    q = stream.writeStream.foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(sink)).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
 def utc(df: DataFrame, ts: str) -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp"))
 
@@ -69,18 +75,20 @@ def split_batches(stream: DataFrame, bad, good_path: str, bad_path: str, checkpo
 
 
 def running_rank(stream: DataFrame, key: str, id_col: str) -> DataFrame:
-    """(key, id, rank, weight): each key's rows numbered across micro-batches, weight 1/rank; the count is the state."""
+    """(key, id, rank, weight): each key's rows numbered in order of id within a micro-batch and on across them, weight 1/rank; the count is the state.
+
+    A task holds the ids of one key in one micro-batch; files_per_batch of the source bounds them.
+    """
+    import numpy as np
     import pandas as pd
 
     schema = f"{key} string, {id_col} long, rank long, weight double"
 
     def number(k, frames, state):
         n = state.get[0] if state.exists else 0
-        for f in frames:
-            f = f.sort_values(id_col)
-            ranks = range(n + 1, n + 1 + len(f))
-            n += len(f)
-            yield pd.DataFrame({key: [k[0]] * len(f), id_col: f[id_col].astype("int64").values, "rank": list(ranks), "weight": [1.0 / r for r in ranks]})
-        state.update((n,))
+        ids = np.sort(np.concatenate([f[id_col].to_numpy("int64") for f in frames]))
+        ranks = np.arange(n + 1, n + 1 + len(ids))
+        state.update((n + len(ids),))
+        yield pd.DataFrame({key: [k[0]] * len(ids), id_col: ids, "rank": ranks, "weight": 1.0 / ranks})
 
     return stream.select(key, id_col).groupBy(key).applyInPandasWithState(number, schema, "n long", "append", "NoTimeout")

@@ -235,3 +235,22 @@ def test_the_rest_does_not_need_the_text_subpackage():
     from tests_root import ROOT
 
     subprocess.run([sys.executable, "-c", code], check=True, cwd=ROOT)
+
+
+def test_both_ways_of_demeaning_agree(spark):
+    import random
+
+    from heddle.operators import econ
+
+    rng = random.Random(3)
+    rows = [(f"f{i}", t, rng.random(), rng.random() * t) for i in range(7) for t in range(12) if rng.random() < 0.7]
+    df = spark.createDataFrame(rows, "firm string, day int, x double, y double")
+    a, b = (sorted((r["firm"], r["day"], round(r["x"], 9), round(r["y"], 9)) for r in econ.within(df, ["x", "y"], "firm", "day", 4, pairs=n).collect()) for n in (1000, 0))
+    assert a == b and len(a) == len(rows)
+
+
+def test_a_thin_panel_is_not_fitted(spark):
+    from heddle.operators import econ
+
+    df = spark.createDataFrame([(f"f{i % 3}", i, float(i % 5), float(i % 7)) for i in range(40)], "firm string, day int, y double, x double")
+    assert econ.panel_fit(df, "y", ["x"], "firm", "day", least=200) is None and econ.fits([("a", df, "y", ["x"])], "firm", "day") == [] and econ.fits([], "firm", "day") == []
