@@ -473,7 +473,7 @@ def _pages(spark, d):
 PAGE_URL = "regexp_extract(url, '^([a-z]+://[^/]+)', 1) || CASE WHEN article_id % 4 = 3 THEN strftime(retrieved_at, '/%Y/%m/%d') ELSE '' END || '/p#' || CAST(article_id AS VARCHAR)"
 
 
-@query("htm01_page_title", f"SELECT {PAGE_URL} AS url, nullif(trim(regexp_replace(regexp_replace(coalesce(title, ''), '[<>&''\"\\\\]', ' ', 'g'), '[\\s\\p{Z}]+', ' ', 'g')), '') AS title FROM articles")
+@query("htm01_page_title", f"SELECT {PAGE_URL} AS url, nullif(trim(regexp_replace(regexp_replace(coalesce(title, ''), '[<>&''\"\\\\]', ' ', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g')), '') AS title FROM articles")
 def _(spark, d):
     return H.pages(_pages(spark, d), "url", "html").select("url", F.nullif(F.trim(F.regexp_replace("title", r"\s+", " ")), F.lit("")).alias("title"))
 
