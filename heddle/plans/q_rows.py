@@ -475,7 +475,7 @@ PAGE_URL = "regexp_extract(url, '^([a-z]+://[^/]+)', 1) || CASE WHEN article_id
 
 @query("htm01_page_title", f"SELECT {PAGE_URL} AS url, nullif(trim(regexp_replace(regexp_replace(coalesce(title, ''), '[<>&''\"\\\\]', ' ', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g')), '') AS title FROM articles")
 def _(spark, d):
-    return H.pages(_pages(spark, d), "url", "html").select("url", F.nullif(F.trim(F.regexp_replace("title", r"\s+", " ")), F.lit("")).alias("title"))
+    return H.pages(_pages(spark, d), "url", "html").select("url", F.nullif(F.trim(F.regexp_replace("title", r"[\s\p{Z}]+", " ")), F.lit("")).alias("title"))
 
 
 @query("htm02_page_day", f"SELECT {PAGE_URL} AS url, strftime(retrieved_at, '%Y-%m-%d') AS day FROM articles")
