@@ -83,13 +83,15 @@ def page_tokens(host: str, lines: list[str], kinds: list[int]) -> list[int]:
             head = x
             continue
         m = len(x) <= 160 and not BULLET.match(x) and LINK_MARK.match(x)
+        kept = False
         if m:
             form = "\x01" + re.sub(r"\d+", "0", m[1].strip()) + "\x00" + head
         else:
             kept = not role and (BULLET.match(x) or SENTENCE_END.search(x) or len(NUMBER.findall(x)) > MOST_SLOTS)
             form = head = "\x01" + x.split(":", 1)[0] if LINK_CUE.match(x) else x if kept else re.sub(r"\d+", "0", x)
         t = _h(host + "\n" + form) & ~1
-        out.append(t | (form == x) or 2)
+        word_for_word = form == x and bool(kept or not NUMBER.search(x))
+        out.append(t | word_for_word or 2)
     return out
 
 

@@ -67,9 +67,13 @@ def p9_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "pack_sizes"))
 
 
+def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p9_packs(spark, sf_dir), _t(spark, sf_dir, "pack_sizes"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(_t(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_evidence, p1_without_cues, p2_found, p2_classes, p3_found, p3_share_by_source, p3_reasons, p5_found, p5_classes, p6_found, p6_slots, p8_ids, p9_packs, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_evidence, p1_without_cues, p2_found, p2_classes, p3_found, p3_share_by_source, p3_reasons, p5_found, p5_classes, p6_found, p6_slots, p8_ids, p9_packs, p9_fill, p10_found)}
 ORACLES: dict[str, str] = {}

@@ -70,3 +70,17 @@ def test_empty_table_and_nulls(spark):
     assert look_alike_pairs(df, "article_id", ["title"]).count() == 0
     out = consistent(spark.createDataFrame([(1, None), (2, ""), (3, "Ａ")], "article_id long, title string"), "article_id", "title")
     assert {r["id"]: r["form"] for r in out.collect()} == {1: None, 2: "", 3: "A"}
+
+
+def test_pairs_by_blocks_and_classes(spark):
+    from heddle.llm import look_alike as L
+
+    rows = [(i, ["ab c", "ab c", "a​b c", "other"][i % 4 if i < 40 else 3]) for i in range(60)] + [(90, None), (91, "")]
+    df = spark.createDataFrame(rows, "id long, title string")
+    text = dict(rows)
+    pairs = sorted((r.article_a, r.article_b) for r in L.look_alike_pairs(df, "id", ["title"], block=4).collect())
+    alike = [i for i in text if text[i] and "other" not in text[i]]
+    assert pairs == sorted((a, b) for a in alike for b in alike if a < b and text[a] != text[b]) and pairs
+    got = {r.article_id: (r.class_id, r.links) for r in L.look_alike_classes(df, "id", ["title"]).collect()}
+    assert got == {i: (0, sum(text[j] != text[i] for j in alike)) for i in alike}
+    assert L.look_alike_classes(df.limit(0), "id", ["title"]).count() == 0

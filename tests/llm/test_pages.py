@@ -164,3 +164,45 @@ def test_bodies_are_without_furniture_that_only_repetition_tells(spark):
     assert {r.article_id for r in T.truncated(df, host_col="domain").collect()} == set(range(11, 20))
     assert N.near_pairs(df, "article_id", "content").count() > 0 and N.near_pairs(df, "article_id", "content", host_col="domain").count() == 0
     assert all(tail not in r.body for r in B.main_bodies(df, "article_id", "content", "domain").collect())
+
+
+def test_shards_of_a_host_add_up(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(90):
+        story = [f"Story {rng.random()} of the day goes on and on, and says a little more than {rng.random()} did."] * 1 + [f"It then went to {rng.random()} and came back, before it ended well."]
+        tail = rng.choice([["Zorb flim", f"Quux no. {i}"], ["Fleebed by gromit"], ["Zorb flim", "Fleebed by gromit"], []])
+        rows.append((i, rng.choice(["a.example", "www.a.example", "b.example", None]), "s", "\n".join(rng.choice([["Home of zorb"], []]) + story + tail), "fulltext"))
+    df = frame(spark, rows)
+    whole, parts = ({(r.article_id, r.line_no) for r in B.furniture_lines(df, "article_id", "content", "domain", shard_pages=n).collect()} for n in (1000, 7))
+    assert whole == parts and len(whole) > 60
+
+
+def test_run_length_decides(spark):
+    """A number that changes keeps a single line from being furniture, not one in a run of two."""
+    story = lambda i: f"Story number {i} goes on for quite a while and says something new about item {i * 7}."
+    alone = [(i, "a.example", "s", f"{story(i)}\nFlim no {i}", "fulltext") for i in range(12)]
+    run = [(i, "a.example", "s", f"{story(i)}\nFlim no {i}\nQuux flam", "fulltext") for i in range(12)]
+    got = lambda rows: {(r.article_id, r.line_no) for r in B.furniture_lines(frame(spark, rows), "article_id", "content", "domain").collect()}
+    assert got(alone) == set() and got(run) == {(i, k) for i in range(12) for k in (1, 2)}
+
+
+def test_texts_that_end_together_are_cut(spark):
+    body = "The first part ended. Then they raised "
+    rows = [(i, "d", "s", (body + "".join(random.Random(i).choices("abcdefgh ", k=90)))[:120].rstrip(" .").ljust(120, "x"), "excerpt") for i in range(8)]
+    rows += [(20 + i, "d", "s", f"Part {i} ended. It is all said.", "excerpt") for i in range(8)]
+    got = {r.reason: r.records for r in T.reasons(frame(spark, rows)).collect()}
+    assert got == {"length": 8, "whole": 8}
+
+
+def test_lines_with_slots(spark):
+    rows = [(i, "d", "s", f"Article no {i} of the desk\nown line {chr(97 + i)}", "") for i in range(8)]
+    found = lambda **k: {(r.article_id, r.line_no) for r in R.repeated_lines(frame(spark, rows), "article_id", "content", "source", **k).collect()}
+    assert found() == set() and found(slots=True) == {(i, 0) for i in range(8)}
+
+
+def test_only_lines_of_covering_templates_are_counted(spark):
+    rows = [(i, "d", "s", "shared line\n" + "\n".join(f"w{chr(97 + i)}{chr(97 + k)} goes alone" for k in range(3)), "") for i in range(8)]
+    lines = R.line_table(frame(spark, rows), "article_id", "content", "source")
+    assert {(r.id, r.line_no) for r in R.survivors(lines, 6).collect()} == {(i, 0) for i in range(8)}
+    assert R.covering(lines, 9).count() == 0
