@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import maths
+from .joins import sized_join, stored
 
 
 def tokens(text: Column, pattern: str = r"[\p{L}\p{N}]+") -> Column:
@@ -49,10 +50,11 @@ def group_weights(hits: DataFrame, idf: DataFrame, groups: list[str]) -> DataFra
 def tfidf(docs: DataFrame, id_col: str, text_col: str, n_docs: DataFrame) -> DataFrame:
     """(id, token, weight): tf * idf over the whole vocabulary, each document's weights of length 1."""
     tf = positions(docs, id_col, text_col).groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    w = tf.join(df, "token").join(F.broadcast(n_docs)).withColumn("w", F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norm = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, "id").select("id", "token", (F.col("w") / F.col("norm")).alias("weight"))
+    df = stored(tf.groupBy("token").agg(F.count(F.lit(1)).alias("df")))
+    # a common token stands in most documents: its rows are spread
+    w = sized_join(tf, df, ["token"], F.col("id")).join(F.broadcast(n_docs)).withColumn("w", F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
+    return w.select("id", "token", (F.col("w") / norm).alias("weight"))
 
 
 def pattern_hits(text: Column, words: list[str]) -> Column:

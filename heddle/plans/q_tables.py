@@ -566,7 +566,7 @@ def _(spark, d):
 CONTRAST = f"{PANEL}, cal AS (SELECT day, row_number() OVER (ORDER BY day) AS tpos FROM (SELECT DISTINCT CAST(date AS DATE) AS day FROM panel)), top AS (SELECT CAST(date AS DATE) AS day, max(GCS) AS s FROM panel GROUP BY 1), ev AS (SELECT thr, tpos, row_number() OVER (PARTITION BY thr ORDER BY tpos) AS event, tpos - lag(tpos) OVER (PARTITION BY thr ORDER BY tpos) AS gap FROM top JOIN cal USING (day), (SELECT 'top10' AS thr, quantile_cont(s, 0.9) AS q FROM top UNION ALL SELECT 'top05', quantile_cont(s, 0.95) FROM top) WHERE s >= q), kept AS (SELECT * FROM ev WHERE gap >= 3 OR gap IS NULL), q AS (SELECT quantile_cont(L_GPUExposure, 0.7) AS g, quantile_cont(L_CPUExposure, 0.7) AS c FROM panel), grp AS (SELECT DISTINCT firm, 'g' AS grp FROM panel, q WHERE L_GPUExposure > g UNION ALL SELECT DISTINCT firm, 'c' FROM panel, q WHERE L_CPUExposure > c), per AS (SELECT thr, grp, event, tau, avg(ar) AS m FROM kept, generate_series(-5, 20) t(tau), panel JOIN cal ON CAST(panel.date AS DATE) = cal.day JOIN grp USING (firm) WHERE cal.tpos = kept.tpos + tau GROUP BY 1, 2, 3, 4), st AS (SELECT thr, grp, tau, avg(m) AS m, CASE WHEN count(m) > 1 THEN var_samp(m) END / count(m) AS v FROM per GROUP BY 1, 2, 3)"
 
 
-@query("eco13_contrast", f"WITH {CONTRAST} SELECT thr, tau, round(g.m, 6) AS mean_g, round(c.m, 6) AS mean_c, round(g.m - c.m, 6) AS diff, round(sqrt(g.v + c.v), 6) AS se_diff FROM (SELECT * FROM st WHERE grp = 'g') g JOIN (SELECT * FROM st WHERE grp = 'c') c USING (thr, tau)")
+@query("eco13_contrast", f"WITH {CONTRAST} SELECT thr, tau, round(g.m, 9) AS mean_g, round(c.m, 9) AS mean_c, round(g.m - c.m, 9) AS diff, round(sqrt(g.v + c.v), 9) AS se_diff FROM (SELECT * FROM st WHERE grp = 'g') g JOIN (SELECT * FROM st WHERE grp = 'c') c USING (thr, tau)")
 def _(spark, d):
     p = panel(spark, d).withColumn("day", F.col("date").cast("date"))
     q = p.agg(F.percentile("L_GPUExposure", F.lit(0.7)).alias("qg"), F.percentile("L_CPUExposure", F.lit(0.7)).alias("qc"))
@@ -581,7 +581,7 @@ def _(spark, d):
     out = None
     for thr in ("top10", "top05"):
         one = E.contrast(E.event_study(rows, ev.filter(F.col("thr") == thr), F.col("grp"), "ar", -5, 20), "g", "c")
-        one = one.select(F.lit(thr).alias("thr"), F.col("tau").cast("bigint").alias("tau"), *[r6(F.col(x)).alias(x) for x in ("mean_g", "mean_c", "diff", "se_diff")])
+        one = one.select(F.lit(thr).alias("thr"), F.col("tau").cast("bigint").alias("tau"), *[F.round(x, 9).alias(x) for x in ("mean_g", "mean_c", "diff", "se_diff")])
         out = one if out is None else out.unionByName(one)
     return out
 
