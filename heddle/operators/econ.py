@@ -51,35 +51,68 @@ def chi2_1_tail(x: float) -> float:
 # ------------------------------------------------------------------ regressions
 
 
-PAIRS = 2_000_000  # different pairs of groups whose counts the driver may hold
+PAIRS = 2_000_000  # rows, or different pairs of groups, that one task may hold
+EFFECTS = 100_000  # groups whose effects every worker may hold
 GUARD = 200  # rows below which nothing is fitted
 
 
-def within(df: DataFrame, cols: list[str], fe1: str, fe2: str, sweeps: int = 12, pairs: int = PAIRS) -> DataFrame:
+def _swept(fe1: str, fe2: str, k: int, sweeps: int):
+    """A function for mapInArrow in one task: from counts and sums of k columns by row or pair of groups, (side, fe1, fe2, effects) of each group of fe1 (side 0) and of fe2 (side 1)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        got = list(batches)
+        if not got:
+            return
+        t = pa.Table.from_batches(got)
+        del got
+        codes, keys = [], []
+        for fe in (fe1, fe2):
+            d = t[fe].combine_chunks().dictionary_encode("encode")  # null is a group as well
+            codes.append(d.indices.to_numpy())
+            keys.append(d.dictionary)
+        w, size = t["_n"].to_numpy().astype(float), [len(x) for x in keys]
+        n = [np.bincount(c, weights=w, minlength=m) for c, m in zip(codes, size)]
+        effects = [np.zeros((m, k)) for m in size]
+        for c in range(k):
+            v = t[f"_s{c}"].to_numpy()
+            s = [np.bincount(x, weights=v, minlength=m) for x, m in zip(codes, size)]
+            a, b = np.zeros(size[0]), np.zeros(size[1])
+            for _ in range(sweeps):
+                a = (s[0] - np.bincount(codes[0], weights=w * b[codes[1]], minlength=size[0])) / n[0]
+                b = (s[1] - np.bincount(codes[1], weights=w * a[codes[0]], minlength=size[1])) / n[1]
+            effects[0][:, c], effects[1][:, c] = a, b
+        for side, m in enumerate(size):
+            ends = [keys[x] if x == side else pa.nulls(m, keys[x].type) for x in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, side, np.int32)), *ends, *[pa.array(x) for x in effects[side].T]], names=["_side", fe1, fe2, *[f"_e{c}" for c in range(k)]])
+
+    return run
+
+
+def within(df: DataFrame, cols: list[str], fe1: str, fe2: str, sweeps: int = 12, pairs: int = PAIRS, kept: bool = False) -> DataFrame:
     """Columns less their means by fe1 and fe2 in turn, `sweeps` times; exact after one sweep on a balanced panel. The columns must hold no nulls.
 
     A sweep changes effects of groups only, x - a[fe1] - b[fe2]: rows stay where they are, and what moves is one mean a
-    group, combined on the map side. The sweeps run on the groups' sums and the counts of their pairs where these are
-    few, and else as aggregates of the stored rows; both give the same effects.
+    group, combined on the map side. The sweeps run in one task on the rows, or the sums by pair of groups, where these are
+    few, and else as aggregates of the stored rows; all give the same effects, and none of them reaches the driver.
+    `kept` rows are read from a stored table already.
     """
     from .joins import stored
 
-    rows = stored(df)
-    counts = rows.groupBy(fe1, fe2).agg(F.count(F.lit(1)).alias("_n"))
-    sums = [F.sum(F.col(c).cast("double")).alias(c) for c in cols]
-    if counts.count() <= pairs:
-        n, s1, s2 = counts.toPandas(), rows.groupBy(fe1).agg(*sums, F.count(F.lit(1)).alias("_n")).toPandas(), rows.groupBy(fe2).agg(*sums, F.count(F.lit(1)).alias("_n")).toPandas()
-        i, j = pd.Index(s1[fe1]).get_indexer(n[fe1]), pd.Index(s2[fe2]).get_indexer(n[fe2])
-        w, a, b = n["_n"].to_numpy(float), np.zeros((len(s1), len(cols))), np.zeros((len(s2), len(cols)))
-        for _ in range(sweeps):
-            for x, s, own, y, other in ((a, s1, i, b, j), (b, s2, j, a, i)):
-                for k, c in enumerate(cols):
-                    x[:, k] = (s[c].to_numpy(float) - np.bincount(own, weights=w * y[other, k], minlength=len(s))) / s["_n"].to_numpy(float)
-        effects = []
-        for fe, s, x in ((fe1, s1, a), (fe2, s2, b)):
-            schema = f"{fe} {df.schema[fe].dataType.simpleString()}" + "".join(f", _{fe}_{k} double" for k in range(len(cols)))
-            values = [(key, *row) for key, row in zip(s[fe].astype(object).where(s[fe].notna(), None), x.tolist())]
-            effects.append(F.broadcast(df.sparkSession.createDataFrame(values, schema)))  # at most `pairs` rows
+    rows = df if kept else stored(df)
+    values = [F.col(c).cast("double") for c in cols]
+    if rows.count() <= pairs:
+        few = rows.select(fe1, fe2, F.lit(1).cast("long").alias("_n"), *[v.alias(f"_s{k}") for k, v in enumerate(values)])
+    else:
+        few = stored(rows.groupBy(fe1, fe2).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(v).alias(f"_s{k}") for k, v in enumerate(values)]))
+        few = few if few.count() <= pairs else None
+    if few is not None:
+        kinds = [f"`{fe}` {df.schema[fe].dataType.simpleString()}" for fe in (fe1, fe2)]
+        schema = ", ".join(["_side int", *kinds, *[f"_e{k} double" for k in range(len(cols))]])
+        out = stored(few.repartition(1).mapInArrow(_swept(fe1, fe2, len(cols), sweeps), schema))
+        effects = [out.filter(F.col("_side") == side).select(fe, *[F.col(f"_e{k}").alias(f"_{fe}_{k}") for k in range(len(cols))]) for side, fe in enumerate((fe1, fe2))]
+        effects = [F.broadcast(e) if e.count() <= EFFECTS else e for e in effects]
     else:
         effects = [None, None]
         for _ in range(sweeps):
@@ -131,13 +164,13 @@ def _meat(scored: DataFrame, xs: list[str], by: str | None) -> tuple[np.ndarray,
     return _matrix(r, len(xs)), r["n"]
 
 
-def panel_fit(df: DataFrame, y: str, xs: list[str], firm: str, day: str, sweeps: int = 12, cluster: bool = True, least: int = 0, corrected: bool = True) -> dict | None:
+def panel_fit(df: DataFrame, y: str, xs: list[str], firm: str, day: str, sweeps: int = 12, cluster: bool = True, least: int = 0, corrected: bool = True, kept: bool = False) -> dict | None:
     """Two-way fixed effects with errors clustered by firm and day; None with fewer than `least` complete rows.
 
     V = (firm + day - intersection) (N - 1) / (N - K - firms - days + 1), by clusters of firm alone where a variance comes
     out negative; without clusters V has the residual variance over N - K. Corrected, the firm and day terms are also
     multiplied by G / (G - 1) for their G clusters, and the plain variance has the effects' degrees of freedom taken off.
-    Rows with a null or NaN in any used column are left out.
+    Rows with a null or NaN in any used column are left out; `kept` is that of `within`.
     """
     from .joins import stored
 
@@ -146,7 +179,7 @@ def panel_fit(df: DataFrame, y: str, xs: list[str], firm: str, day: str, sweeps:
     for c in use:
         ok = ok & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
     d = df.filter(ok & F.col(firm).isNotNull() & F.col(day).isNotNull()).select(firm, day, *[F.col(c).cast("double").alias(c) for c in use])
-    w = stored(within(d, use, firm, day, sweeps))
+    w = stored(within(d, use, firm, day, sweeps, kept=kept))
     beta, inv, n, yy = ols(w, y, xs)
     if n < least:
         return None
@@ -175,15 +208,20 @@ def panel_fit(df: DataFrame, y: str, xs: list[str], firm: str, day: str, sweeps:
 
 
 def fits(specs: list[tuple[str, DataFrame, str, list[str]]], firm: str, day: str, threads: int = 6) -> list[tuple[str, dict]]:
-    """(name, fit) of each spec (name, rows, outcome, regressors) that has rows enough; specs run side by side."""
+    """(name, fit) of each spec (name, rows, outcome, regressors) that has rows enough; specs run side by side, over rows that are made once for all that share them."""
     from concurrent.futures import ThreadPoolExecutor
 
     from pyspark import inheritable_thread_target
 
+    from .joins import stored
+
     if not specs:
         return []
+    used = {id(s[1]): (s[1], {c: None for x in specs if x[1] is s[1] for c in (firm, day, x[2], *x[3])}) for s in specs}
+    rows = {k: stored(x.select(*c)) for k, (x, c) in used.items()}
+    specs = [(n, rows[id(x)], y, xs) for n, x, y, xs in specs]
     with ThreadPoolExecutor(threads) as pool:
-        run = inheritable_thread_target(specs[0][1].sparkSession)(lambda s: (s[0], panel_fit(s[1], s[2], s[3], firm, day, least=GUARD, corrected=False)))
+        run = inheritable_thread_target(specs[0][1].sparkSession)(lambda s: (s[0], panel_fit(s[1], s[2], s[3], firm, day, least=GUARD, corrected=False, kept=True)))
         return [f for f in pool.map(run, specs) if f[1] is not None]
 
 

@@ -254,3 +254,22 @@ def test_a_thin_panel_is_not_fitted(spark):
 
     df = spark.createDataFrame([(f"f{i % 3}", i, float(i % 5), float(i % 7)) for i in range(40)], "firm string, day int, y double, x double")
     assert econ.panel_fit(df, "y", ["x"], "firm", "day", least=200) is None and econ.fits([("a", df, "y", ["x"])], "firm", "day") == [] and econ.fits([], "firm", "day") == []
+
+
+def test_effects_never_reach_the_driver(spark, monkeypatch):
+    from heddle.operators import econ
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    def refused(self, *a, **k):
+        raise AssertionError("rows of groups on the driver")
+
+    rows = [(f"f{i % 7}" if i % 7 else None, i % 5, i % 11 * 0.5, float(i % 3)) for i in range(60)]
+    df = spark.createDataFrame(rows, "firm string, day int, x double, y double")
+    ways = []
+    with monkeypatch.context() as m:
+        m.setattr(Classic, "toPandas", refused)
+        m.setattr(Classic, "collect", refused)
+        for pairs in (1000, 40, 0):  # rows in one task, sums by pair in one task, aggregates
+            ways.append(econ.within(df, ["x", "y"], "firm", "day", 4, pairs=pairs))
+    got = [sorted((r["firm"] or "", r["day"], round(r["x"], 9), round(r["y"], 9)) for r in w.collect()) for w in ways]
+    assert len(got[0]) == 60 and got[0] == got[1] == got[2]
