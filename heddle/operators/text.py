@@ -47,12 +47,21 @@ def group_weights(hits: DataFrame, idf: DataFrame, groups: list[str]) -> DataFra
     return x.groupBy("id").agg(*[F.sum(F.when(F.col("grp") == g, F.col("tf") * F.col("idf")).otherwise(0.0)).alias(f"w_{g}") for g in groups])
 
 
-def tfidf(docs: DataFrame, id_col: str, text_col: str, n_docs: DataFrame) -> DataFrame:
-    """(id, token, weight): tf * idf over the whole vocabulary, each document's weights of length 1."""
-    tf = positions(docs, id_col, text_col).groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"))
-    df = stored(tf.groupBy("token").agg(F.count(F.lit(1)).alias("df")))
+COMMON = 200_000  # tokens of more than one document that every worker may hold
+
+
+def tfidf(docs: DataFrame, id_col: str, text_col: str, n_docs: DataFrame, most: int = COMMON) -> DataFrame:
+    """(id, token, weight): tf * idf over the whole vocabulary, each document's weights of length 1.
+
+    Texts are dealt by id once, and no row of a token moves after that: a token that is not in the table of those of
+    several documents stands in one. Only where that table is too large to send do rows move to it, and back.
+    """
+    dealt = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).repartition("_id")
+    tf = positions(dealt, "_id", "_text").groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"))
+    df = stored(tf.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
     # a common token stands in most documents: its rows are spread
-    w = sized_join(tf, df, ["token"], F.col("id")).join(F.broadcast(n_docs)).withColumn("w", F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    x = sized_join(tf, df, ["token"], F.col("id"), "left", most)
+    w = x.join(F.broadcast(n_docs)).withColumn("w", F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.coalesce("df", F.lit(1)))) + 1))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
     return w.select("id", "token", (F.col("w") / norm).alias("weight"))
 

@@ -273,3 +273,27 @@ def test_effects_never_reach_the_driver(spark, monkeypatch):
             ways.append(econ.within(df, ["x", "y"], "firm", "day", 4, pairs=pairs))
     got = [sorted((r["firm"] or "", r["day"], round(r["x"], 9), round(r["y"], 9)) for r in w.collect()) for w in ways]
     assert len(got[0]) == 60 and got[0] == got[1] == got[2]
+
+
+def test_tfidf_moves_texts_once(spark):
+    import math
+    from collections import Counter
+
+    from heddle.operators import text as T
+
+    docs = [(1, "a b a c"), (2, "a d"), (2, "d e"), (3, None), (4, "b a. f"), (None, "a g")]
+    df = spark.createDataFrame(docs, "id long, body string")
+    n = spark.createDataFrame([(6,)], "n long")
+    words = {}
+    for i, b in docs:
+        words.setdefault(i, Counter()).update((b or "").replace(".", "").split())
+    df_of = Counter(w for c in words.values() for w in c)
+    want = {}
+    for i, c in words.items():
+        w = {t: k * (math.log(7 / (1 + df_of[t])) + 1) for t, k in c.items()}
+        want |= {(i, t): round(v / math.sqrt(sum(x * x for x in w.values())), 9) for t, v in w.items()}
+    for most in (T.COMMON, 0):  # sent to every worker, or met by token
+        got = T.tfidf(df, "id", "body", n, most)
+        assert {(r["id"], r["token"]): round(r["weight"], 9) for r in got.collect()} == want
+    plan = T.tfidf(df, "id", "body", n)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # by id, not by token
