@@ -146,14 +146,18 @@ def _matrix(row, k: int) -> np.ndarray:
 def ols(df: DataFrame, y: str, xs: list[str]) -> tuple[np.ndarray, np.ndarray, int, float]:
     """(coefficients, inverse of X'X, rows, y'y) from one aggregate of K x K sums."""
     r = df.agg(F.count(F.lit(1)).alias("n"), *_products(xs, y)).collect()[0]  # one row of sums
-    k = len(xs)
-    m = _matrix(r, k + 1)
-    xtx, xty = m[:k, :k], m[:k, k]
+    m = _matrix(r, len(xs) + 1)
+    return *_solved(m), r["n"], m[-1, -1]
+
+
+def _solved(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(coefficients, inverse of X'X) from the products of the regressors and, last, the outcome."""
+    xtx, xty = m[:-1, :-1], m[:-1, -1]
     try:
         inv = np.linalg.inv(xtx)
     except np.linalg.LinAlgError:
         inv = np.linalg.pinv(xtx)
-    return inv @ xty, inv, r["n"], m[k, k]
+    return inv @ xty, inv
 
 
 def _meat(scored: DataFrame, xs: list[str], by: str | None) -> tuple[np.ndarray, int]:
@@ -164,6 +168,57 @@ def _meat(scored: DataFrame, xs: list[str], by: str | None) -> tuple[np.ndarray,
     return _matrix(r, len(xs)), r["n"]
 
 
+def _complete(df: DataFrame, use: list[str], firm: str, day: str) -> DataFrame:
+    """Rows without null or NaN in any used column, those cast to double."""
+    ok = F.lit(True)
+    for c in use:
+        ok = ok & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    return df.filter(ok & F.col(firm).isNotNull() & F.col(day).isNotNull()).select(firm, day, *[F.col(c).cast("double").alias(c) for c in use])
+
+
+SUMS = "n long, n_firm long, n_day long, m array<double>, rss double, firm array<double>, day array<double>, both array<double>"
+
+
+def _summed(k: int, sweeps: int):
+    """A function for mapInArrow in one task: from firm, day, an outcome and k regressors, one row of all sums (SUMS) that a fit needs; none without rows."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        codes, size = [], []
+        for i in (0, 1):
+            d = pa.chunked_array([b.column(i) for b in parts]).combine_chunks().dictionary_encode()
+            codes.append(d.indices.to_numpy().astype(np.int64))
+            size.append(len(d.dictionary))
+        cols = [np.concatenate([b.column(2 + c).to_numpy(zero_copy_only=False) for b in parts]) for c in range(k + 1)]
+        del parts
+        count = [np.bincount(x, minlength=m) for x, m in zip(codes, size)]
+        for c, v in enumerate(cols):
+            s = [np.bincount(x, weights=v, minlength=m) for x, m in zip(codes, size)]
+            a, b = np.zeros(size[0]), np.zeros(size[1])
+            for _ in range(sweeps):
+                a = (s[0] - np.bincount(codes[0], weights=b[codes[1]], minlength=size[0])) / count[0]
+                b = (s[1] - np.bincount(codes[1], weights=a[codes[0]], minlength=size[1])) / count[1]
+            cols[c] = v - a[codes[0]] - b[codes[1]]
+        y, xs = cols[0], cols[1:]
+        names = [*xs, y]
+        m = np.array([[a @ b for b in names] for a in names])
+        e = y - sum(x * b for x, b in zip(xs, _solved(m)[0]))
+        scores = [x * e for x in xs]
+        pairs = np.unique(codes[0] * size[1] + codes[1], return_inverse=True)[1]
+        meats = []
+        for by in (*codes, pairs):
+            g = np.array([np.bincount(by, weights=s) for s in scores])
+            meats.append((g @ g.T).ravel().tolist())
+        row = [[len(y)], [size[0]], [size[1]], [m.ravel().tolist()], [float(e @ e)], *[[x] for x in meats]]
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, [*[pa.int64()] * 3, pa.list_(pa.float64()), pa.float64(), *[pa.list_(pa.float64())] * 3])], names=[c.split()[0] for c in SUMS.split(", ")])
+
+    return run
+
+
 def panel_fit(df: DataFrame, y: str, xs: list[str], firm: str, day: str, sweeps: int = 12, cluster: bool = True, least: int = 0, corrected: bool = True, kept: bool = False) -> dict | None:
     """Two-way fixed effects with errors clustered by firm and day; None with fewer than `least` complete rows.
 
@@ -175,11 +230,7 @@ def panel_fit(df: DataFrame, y: str, xs: list[str], firm: str, day: str, sweeps:
     from .joins import stored
 
     use = [y, *xs]
-    ok = F.lit(True)
-    for c in use:
-        ok = ok & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
-    d = df.filter(ok & F.col(firm).isNotNull() & F.col(day).isNotNull()).select(firm, day, *[F.col(c).cast("double").alias(c) for c in use])
-    w = stored(within(d, use, firm, day, sweeps, kept=kept))
+    w = stored(within(_complete(df, use, firm, day), use, firm, day, sweeps, kept=kept))
     beta, inv, n, yy = ols(w, y, xs)
     if n < least:
         return None
@@ -189,8 +240,14 @@ def panel_fit(df: DataFrame, y: str, xs: list[str], firm: str, day: str, sweeps:
     rss = scored.agg(F.sum(F.col("_e") * F.col("_e"))).collect()[0][0] or 0.0
     mf, nf = _meat(scored, xs, firm)
     md, nd = _meat(scored, xs, day)
-    if cluster:
-        mi, _ = _meat(scored.groupBy(firm, day).agg(*[F.sum(f"s_{i}").alias(f"s_{i}") for i in range(k)]), xs, None)
+    mi = _meat(scored.groupBy(firm, day).agg(*[F.sum(f"s_{i}").alias(f"s_{i}") for i in range(k)]), xs, None)[0] if cluster else None
+    return _fit(xs, beta, inv, n, yy, rss, mf, nf, md, nd, mi, corrected)
+
+
+def _fit(xs: list[str], beta: np.ndarray, inv: np.ndarray, n: int, yy: float, rss: float, mf: np.ndarray, nf: int, md: np.ndarray, nd: int, mi: np.ndarray | None, corrected: bool) -> dict:
+    """The fit of `panel_fit` from its sums; without mi, those by firm and day, errors are not clustered."""
+    k = len(xs)
+    if mi is not None:
         adjust = (n - 1) / max(n - k - nf - nd + 1, 1)
         more = lambda g: g / max(g - 1, 1) if corrected else 1.0
         v = adjust * inv @ (more(nf) * mf + more(nd) * md - mi) @ inv
@@ -207,8 +264,11 @@ def panel_fit(df: DataFrame, y: str, xs: list[str], firm: str, day: str, sweeps:
     }
 
 
-def fits(specs: list[tuple[str, DataFrame, str, list[str]]], firm: str, day: str, threads: int = 6) -> list[tuple[str, dict]]:
-    """(name, fit) of each spec (name, rows, outcome, regressors) that has rows enough; specs run side by side, over rows that are made once for all that share them."""
+def fits(specs: list[tuple[str, DataFrame, str, list[str]]], firm: str, day: str, threads: int = 6, sweeps: int = 12, held: int = PAIRS) -> list[tuple[str, dict]]:
+    """(name, fit) of each spec (name, rows, outcome, regressors) that has rows enough, over rows that are made once for all that share them.
+
+    They run side by side: of at most `held` rows each in one job of one task, which hands on its sums, and else spread over the workers.
+    """
     from concurrent.futures import ThreadPoolExecutor
 
     from pyspark import inheritable_thread_target
@@ -219,10 +279,21 @@ def fits(specs: list[tuple[str, DataFrame, str, list[str]]], firm: str, day: str
         return []
     used = {id(s[1]): (s[1], {c: None for x in specs if x[1] is s[1] for c in (firm, day, x[2], *x[3])}) for s in specs}
     rows = {k: stored(x.select(*c)) for k, (x, c) in used.items()}
-    specs = [(n, rows[id(x)], y, xs) for n, x, y, xs in specs]
+    few = {k for k, x in rows.items() if x.count() <= held}
+
+    def fit(s: tuple) -> tuple[str, dict | None]:
+        name, k, y, xs = s[0], id(s[1]), *s[2:]
+        if k not in few:
+            return name, panel_fit(rows[k], y, xs, firm, day, sweeps, least=GUARD, corrected=False, kept=True)
+        r = _complete(rows[k], [y, *xs], firm, day).coalesce(1).mapInArrow(_summed(len(xs), sweeps), SUMS).collect()  # one row of sums
+        if not r or r[0]["n"] < GUARD:
+            return name, None
+        r, m = r[0], np.array(r[0]["m"]).reshape(len(xs) + 1, -1)
+        mf, md, mi = (np.array(r[c]).reshape(len(xs), -1) for c in ("firm", "day", "both"))
+        return name, _fit(xs, *_solved(m), r["n"], m[-1, -1], r["rss"], mf, r["n_firm"], md, r["n_day"], mi, False)
+
     with ThreadPoolExecutor(threads) as pool:
-        run = inheritable_thread_target(specs[0][1].sparkSession)(lambda s: (s[0], panel_fit(s[1], s[2], s[3], firm, day, least=GUARD, corrected=False, kept=True)))
-        return [f for f in pool.map(run, specs) if f[1] is not None]
+        return [f for f in pool.map(inheritable_thread_target(specs[0][1].sparkSession)(fit), specs) if f[1] is not None]
 
 
 def wald_equal(fit: dict, a: str, b: str) -> tuple[float, float]:

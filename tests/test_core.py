@@ -297,3 +297,20 @@ def test_tfidf_moves_texts_once(spark):
         assert {(r["id"], r["token"]): round(r["weight"], 9) for r in got.collect()} == want
     plan = T.tfidf(df, "id", "body", n)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1  # by id, not by token
+
+
+def test_a_battery_has_few_jobs_and_its_fits_are_those_of_panel_fit(spark):
+    rng = random.Random(7)
+    rows = [(f"f{i % 13}" if i % 50 else None, i % 31 if i % 47 else None, rng.random(), rng.random() if i % 9 else None, rng.gauss(0, 1) if i % 7 else float("nan")) for i in range(900)]
+    df = spark.createDataFrame(rows, "firm string, day int, y double, x double, z double").cache()
+    specs = [(f"s{k}", df, "y", ["x", "z"] if k % 2 else ["z"]) for k in range(6)] + [("thin", df.limit(150), "y", ["x"])]
+    spark.sparkContext.setJobGroup("battery", "")
+    got = econ.fits(specs, "firm", "day")
+    spark.sparkContext.setJobGroup("other", "")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("battery")) <= 3 * len(specs)  # twelve or more a spec before
+    spread = econ.fits(specs, "firm", "day", held=0)
+    assert [n for n, _ in got] == [n for n, _ in spread] == [f"s{k}" for k in range(6)]
+    for (_, a), (_, b), s in zip(got, spread, specs):
+        c = econ.panel_fit(df, "y", s[3], "firm", "day", corrected=False)
+        for k in ("coef", "se", "p", "n", "n_firm", "n_day", "within_r2", "v"):
+            assert np.allclose(a[k], b[k], rtol=1e-9) and np.allclose(a[k], c[k], rtol=1e-9), k
