@@ -314,3 +314,12 @@ def test_a_battery_has_few_jobs_and_its_fits_are_those_of_panel_fit(spark):
         c = econ.panel_fit(df, "y", s[3], "firm", "day", corrected=False)
         for k in ("coef", "se", "p", "n", "n_firm", "n_day", "within_r2", "v"):
             assert np.allclose(a[k], b[k], rtol=1e-9) and np.allclose(a[k], c[k], rtol=1e-9), k
+
+
+def test_sixteen_outcomes_run_a_job_each(spark, sf):
+    from heddle import core_queries as C
+
+    spark.sparkContext.setJobGroup("outcomes", "")
+    C.QUERIES["eco19_outcome_battery"](spark, sf)
+    spark.sparkContext.setJobGroup("other", "")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("outcomes")) <= 40  # six and more a fit before
