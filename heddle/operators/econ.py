@@ -5,6 +5,7 @@ Data stay distributed; only sums of K x K products of regressors reach the drive
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -53,6 +54,7 @@ def chi2_1_tail(x: float) -> float:
 
 PAIRS = 2_000_000  # rows, or different pairs of groups, that one task may hold
 EFFECTS = 100_000  # groups whose effects every worker may hold
+EACH = 8  # fits that a task makes of rows that it reads once
 GUARD = 200  # rows below which nothing is fitted
 
 
@@ -176,45 +178,71 @@ def _complete(df: DataFrame, use: list[str], firm: str, day: str) -> DataFrame:
     return df.filter(ok & F.col(firm).isNotNull() & F.col(day).isNotNull()).select(firm, day, *[F.col(c).cast("double").alias(c) for c in use])
 
 
-SUMS = "n long, n_firm long, n_day long, m array<double>, rss double, firm array<double>, day array<double>, both array<double>"
+SUMS = "spec int, n long, n_firm long, n_day long, m array<double>, rss double, firm array<double>, day array<double>, both array<double>"
 
 
-def _summed(k: int, sweeps: int):
-    """A function for mapInArrow in one task: from firm, day, an outcome and k regressors, one row of all sums (SUMS) that a fit needs; none without rows."""
+def _columns(batches) -> tuple[list[np.ndarray], list[int], list[np.ndarray]]:
+    """Codes of the first two columns and their numbers of groups, and the others, where a null is NaN; a batch is let go once it is read."""
+    parts, codes = None, [{}, {}]
+    for b in batches:
+        parts = parts or [[] for _ in b.columns]
+        for i, c in enumerate(b.columns):
+            if i < 2:
+                d = c.dictionary_encode()
+                c = np.array([codes[i].setdefault(x, len(codes[i])) for x in d.dictionary.to_pylist()], np.int32)[d.indices.to_numpy()]
+            else:
+                c = np.array(c.to_numpy(zero_copy_only=False), float)
+            parts[i].append(c)
+    cols = []
+    while parts:
+        cols.append(np.concatenate(parts.pop(0)))
+    return cols[:2], [len(x) for x in codes], cols[2:]
+
+
+def _summed(specs: list[tuple[int, int, list[int]]], sweeps: int):
+    """A function for mapInArrow in one task: from firm, day and columns, a row of all sums (SUMS) that a fit needs for each spec (number, outcome, regressors as places among the columns) with rows.
+
+    Specs with the same complete rows share their groups, and the regressors less their means.
+    """
 
     def run(batches):
         import pyarrow as pa
 
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        codes, size = [], []
-        for i in (0, 1):
-            d = pa.chunked_array([b.column(i) for b in parts]).combine_chunks().dictionary_encode()
-            codes.append(d.indices.to_numpy().astype(np.int64))
-            size.append(len(d.dictionary))
-        cols = [np.concatenate([b.column(2 + c).to_numpy(zero_copy_only=False) for b in parts]) for c in range(k + 1)]
-        del parts
-        count = [np.bincount(x, minlength=m) for x, m in zip(codes, size)]
-        for c, v in enumerate(cols):
-            s = [np.bincount(x, weights=v, minlength=m) for x, m in zip(codes, size)]
-            a, b = np.zeros(size[0]), np.zeros(size[1])
-            for _ in range(sweeps):
-                a = (s[0] - np.bincount(codes[0], weights=b[codes[1]], minlength=size[0])) / count[0]
-                b = (s[1] - np.bincount(codes[1], weights=a[codes[0]], minlength=size[1])) / count[1]
-            cols[c] = v - a[codes[0]] - b[codes[1]]
-        y, xs = cols[0], cols[1:]
-        names = [*xs, y]
-        m = np.array([[a @ b for b in names] for a in names])
-        e = y - sum(x * b for x, b in zip(xs, _solved(m)[0]))
-        scores = [x * e for x in xs]
-        pairs = np.unique(codes[0] * size[1] + codes[1], return_inverse=True)[1]
-        meats = []
-        for by in (*codes, pairs):
-            g = np.array([np.bincount(by, weights=s) for s in scores])
-            meats.append((g @ g.T).ravel().tolist())
-        row = [[len(y)], [size[0]], [size[1]], [m.ravel().tolist()], [float(e @ e)], *[[x] for x in meats]]
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, [*[pa.int64()] * 3, pa.list_(pa.float64()), pa.float64(), *[pa.list_(pa.float64())] * 3])], names=[c.split()[0] for c in SUMS.split(", ")])
+        codes, size, cols = _columns(batches)
+        like: dict[bytes, list[tuple[int, int, list[int]]]] = {}
+        for s in specs if cols else ():
+            like.setdefault(np.packbits(~np.any([np.isnan(cols[c]) for c in (s[1], *s[2])], axis=0)).tobytes(), []).append(s)
+        for bits, own in like.items():
+            at = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(codes[0])))
+            if not len(at):
+                continue
+            by = [x[at] for x in codes]
+            pairs = np.unique(by[0].astype(np.int64) * size[1] + by[1], return_inverse=True)[1]
+            count = [np.bincount(x, minlength=m) for x, m in zip(by, size)]
+            there = [np.maximum(x, 1) for x in count]
+
+            def less(c: int) -> np.ndarray:
+                v = cols[c][at]
+                s = [np.bincount(x, weights=v, minlength=m) for x, m in zip(by, size)]
+                a, b = np.zeros(size[0]), np.zeros(size[1])
+                for _ in range(sweeps):
+                    a = (s[0] - np.bincount(by[0], weights=b[by[1]], minlength=size[0])) / there[0]
+                    b = (s[1] - np.bincount(by[1], weights=a[by[0]], minlength=size[1])) / there[1]
+                return v - a[by[0]] - b[by[1]]
+
+            held: dict[int, np.ndarray] = {}
+            for k, (number, y, xs) in enumerate(own):
+                held |= {c: less(c) for c in xs if c not in held}
+                names = [*[held[c] for c in xs], held[y] if y in held else less(y)]
+                m = np.array([[a @ b for b in names] for a in names])
+                e = names[-1] - sum(x * b for x, b in zip(names, _solved(m)[0]))
+                meats = []
+                for g in (*by, pairs):
+                    g = np.array([np.bincount(g, weights=x * e) for x in names[:-1]])
+                    meats.append((g @ g.T).ravel().tolist())
+                row = [number, len(at), *[np.count_nonzero(x) for x in count], m.ravel().tolist(), float(e @ e), *meats]
+                held = {c: v for c, v in held.items() if any(c in (s[1], *s[2]) for s in own[k + 1 :])}
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int32(), *[pa.int64()] * 3, pa.list_(pa.float64()), pa.float64(), *[pa.list_(pa.float64())] * 3])], names=[c.split()[0] for c in SUMS.split(", ")])
 
     return run
 
@@ -267,7 +295,7 @@ def _fit(xs: list[str], beta: np.ndarray, inv: np.ndarray, n: int, yy: float, rs
 def fits(specs: list[tuple[str, DataFrame, str, list[str]]], firm: str, day: str, threads: int = 6, sweeps: int = 12, held: int = PAIRS) -> list[tuple[str, dict]]:
     """(name, fit) of each spec (name, rows, outcome, regressors) that has rows enough, over rows that are made once for all that share them.
 
-    They run side by side: of at most `held` rows each in one job of one task, which hands on its sums, and else spread over the workers.
+    Fits of at most `held` rows run in one job, whose tasks read the rows once for up to EACH of them and hand on their sums; larger ones are spread over the workers, side by side.
     """
     from concurrent.futures import ThreadPoolExecutor
 
@@ -280,20 +308,28 @@ def fits(specs: list[tuple[str, DataFrame, str, list[str]]], firm: str, day: str
     used = {id(s[1]): (s[1], {c: None for x in specs if x[1] is s[1] for c in (firm, day, x[2], *x[3])}) for s in specs}
     rows = {k: stored(x.select(*c)) for k, (x, c) in used.items()}
     few = {k for k, x in rows.items() if x.count() <= held}
-
-    def fit(s: tuple) -> tuple[str, dict | None]:
-        name, k, y, xs = s[0], id(s[1]), *s[2:]
-        if k not in few:
-            return name, panel_fit(rows[k], y, xs, firm, day, sweeps, least=GUARD, corrected=False, kept=True)
-        r = _complete(rows[k], [y, *xs], firm, day).coalesce(1).mapInArrow(_summed(len(xs), sweeps), SUMS).collect()  # one row of sums
-        if not r or r[0]["n"] < GUARD:
-            return name, None
-        r, m = r[0], np.array(r[0]["m"]).reshape(len(xs) + 1, -1)
+    tasks = []
+    for k in few:
+        own = sorted((i for i, s in enumerate(specs) if id(s[1]) == k), key=lambda i: specs[i][3])  # those with the same regressors are likely to have the same rows
+        for part in (own[i : i + EACH] for i in range(0, len(own), EACH)):
+            cols = list(dict.fromkeys(c for i in part for c in (*specs[i][3], specs[i][2])))
+            there = rows[k].filter(F.col(firm).isNotNull() & F.col(day).isNotNull()).select(firm, day, *[F.col(c).cast("double").alias(c) for c in cols])
+            tasks.append(there.coalesce(1).mapInArrow(_summed([(i, cols.index(specs[i][2]), [cols.index(c) for c in specs[i][3]]) for i in part], sweeps), SUMS))
+    sums = {r["spec"]: r for r in functools.reduce(DataFrame.unionAll, tasks).collect()} if tasks else {}  # one row a fit
+
+    def fit(i: int) -> dict | None:
+        _, x, y, xs = specs[i]
+        if id(x) not in few:
+            return panel_fit(rows[id(x)], y, xs, firm, day, sweeps, least=GUARD, corrected=False, kept=True)
+        if i not in sums or sums[i]["n"] < GUARD:
+            return None
+        r, m = sums[i], np.array(sums[i]["m"]).reshape(len(xs) + 1, -1)
         mf, md, mi = (np.array(r[c]).reshape(len(xs), -1) for c in ("firm", "day", "both"))
-        return name, _fit(xs, *_solved(m), r["n"], m[-1, -1], r["rss"], mf, r["n_firm"], md, r["n_day"], mi, False)
+        return _fit(xs, *_solved(m), r["n"], m[-1, -1], r["rss"], mf, r["n_firm"], md, r["n_day"], mi, False)
 
     with ThreadPoolExecutor(threads) as pool:
-        return [f for f in pool.map(inheritable_thread_target(specs[0][1].sparkSession)(fit), specs) if f[1] is not None]
+        got = pool.map(inheritable_thread_target(specs[0][1].sparkSession)(fit), range(len(specs)))
+        return [(s[0], f) for s, f in zip(specs, got) if f is not None]
 
 
 def wald_equal(fit: dict, a: str, b: str) -> tuple[float, float]:
@@ -304,12 +340,13 @@ def wald_equal(fit: dict, a: str, b: str) -> tuple[float, float]:
     return x, chi2_1_tail(x) if x == x else float("nan")
 
 
-def result_rows(spark, fits: list[tuple[str, dict]]) -> DataFrame:
-    """(spec, var, coef, se, t, p, lo, hi, n, n_firm, n_day, within_r2)."""
+def result_rows(spark, fits: list[tuple[str, dict]], only: dict[str, list[str]] | None = None) -> DataFrame:
+    """(spec, var, coef, se, t, p, lo, hi, n, n_firm, n_day, within_r2), of some regressors of each spec if `only` names them."""
     rows = [
         (spec, x, *(float(f[k][i]) for k in ("coef", "se", "t", "p", "lo", "hi")), int(f["n"]), int(f["n_firm"]), int(f["n_day"]), float(f["within_r2"]))
         for spec, f in fits
         for i, x in enumerate(f["xs"])
+        if only is None or x in only[spec]
     ]
     return spark.createDataFrame(rows, "spec string, var string, coef double, se double, t double, p double, lo double, hi double, n long, n_firm long, n_day long, within_r2 double")
 

@@ -89,10 +89,8 @@ def _horizons(r, hs=HORIZONS, ys=("ar", "mar")):
 
 def _rows(spark, specs):
     """(spec, var, coef, se, n) of the pair of each spec (name, rows, outcome, pair, others)."""
-    pairs = {s[0]: s[3] for s in specs}
-    got = E.result_rows(spark, E.fits([(n, x, y, [*pair, *others]) for n, x, y, pair, others in specs], "firm", "day"))
-    keep = spark.createDataFrame([(n, v) for n, vs in pairs.items() for v in vs], "spec string, var string")
-    return got.join(F.broadcast(keep), ["spec", "var"]).select("spec", "var", F.round("coef", 7).alias("coef"), F.round("se", 7).alias("se"), "n")
+    got = E.fits([(n, x, y, [*pair, *others]) for n, x, y, pair, others in specs], "firm", "day")
+    return E.result_rows(spark, got, {s[0]: s[3] for s in specs}).select("spec", "var", F.round("coef", 7).alias("coef"), F.round("se", 7).alias("se"), "n")
 
 
 def _battery(name, head, specs):
@@ -228,11 +226,13 @@ SENTIMENT = {"hits": "count(*)", "items": "count(DISTINCT nid)", "sources": "cou
 @_battery("eco19_outcome_battery", f"{REG}, said AS (SELECT regexp_extract(h.thscode, '([0-9]{{6}})', 1) AS firm, CAST(h.hit_time AS DATE) AS day, " + ", ".join(f"{v} AS {k}" for k, v in SENTIMENT.items()) + " FROM firm_news_hits h LEFT JOIN news n ON h.nid = n.news_id WHERE h.thscode IS NOT NULL AND h.hit_time IS NOT NULL GROUP BY 1, 2), voiced AS MATERIALIZED (SELECT reg.*, " + ", ".join(f"ln(1 + coalesce({k}, 0)) AS {k}" for k in SENTIMENT) + " FROM reg LEFT JOIN said ON reg.firm = said.firm AND CAST(reg.day AS DATE) = said.day)", [(f"{k}{n}", None, "voiced", k, XS, c) for k in SENTIMENT for n, c in (("", []), (" with controls", CONTROLS))])
 def _(spark, d):
     r = _reg(spark, d)
-    h, n = table(spark, d, "firm_news_hits"), table(spark, d, "news").select("news_id", "source", "content", "title", "keyword_hits", "crawl_time")
-    j = h.filter("thscode is not null and hit_time is not null").join(n, h["nid"] == n["news_id"], "left").withColumns({"firm": F.regexp_extract("thscode", r"(\d{6})", 1), "on": F.col("hit_time").cast("date")})
+    words = F.size(F.coalesce("keyword_hits", F.array().cast("array<string>")))
+    n = table(spark, d, "news").select("news_id", "source", "crawl_time", F.length("content").alias("chars"), F.when(F.col("title").isNotNull(), 1).alias("titled"), words.alias("words"))  # texts stay where they are read
+    h = table(spark, d, "firm_news_hits").filter("thscode is not null and hit_time is not null").select("nid", "hit_time", F.regexp_extract("thscode", r"(\d{6})", 1).alias("firm"), F.col("hit_time").cast("date").alias("on"))
+    j = h.join(n, h["nid"] == n["news_id"], "left")
     count = {
-        "hits": F.count(F.lit(1)), "items": F.count_distinct("nid"), "sources": F.count_distinct("source"), "chars": F.coalesce(F.sum(F.length("content")), F.lit(0)), "titled": F.count("title"),
-        "words": F.coalesce(F.sum(F.coalesce(F.size(F.coalesce("keyword_hits", F.array().cast("array<string>"))), F.lit(0))), F.lit(0)), "repeats": F.count(F.lit(1)) - F.count_distinct("nid"), "late": F.count_if(F.col("hit_time") > F.col("crawl_time")),
+        "hits": F.count(F.lit(1)), "items": F.count_distinct("nid"), "sources": F.count_distinct("source"), "chars": F.sum("chars"), "titled": F.count("titled"),
+        "words": F.sum("words"), "repeats": F.count(F.lit(1)) - F.count_distinct("nid"), "late": F.count_if(F.col("hit_time") > F.col("crawl_time")),
     }
     said = j.groupBy("firm", "on").agg(*[v.alias(k) for k, v in count.items()])
     x = r.withColumn("on", F.col("day").cast("date")).join(said, ["firm", "on"], "left").withColumns({k: F.log1p(F.coalesce(k, F.lit(0)).cast("double")) for k in SENTIMENT})

@@ -323,3 +323,20 @@ def test_sixteen_outcomes_run_a_job_each(spark, sf):
     C.QUERIES["eco19_outcome_battery"](spark, sf)
     spark.sparkContext.setJobGroup("other", "")
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("outcomes")) <= 40  # six and more a fit before
+
+
+def test_fits_of_a_battery_share_a_job_and_the_reading_of_their_rows(spark):
+    rng = random.Random(11)
+    rows = [(f"f{i % 17}", i % 29 if i % 40 else None, *(rng.gauss(0, 1) if i % (5 + k) else None for k in range(10)), rng.random(), rng.random() if i % 6 else None) for i in range(1200)]
+    df = spark.createDataFrame(rows, "firm string, day int, " + ", ".join(f"y{k} double" for k in range(10)) + ", x double, z double")
+    specs = [(f"s{k}{len(xs)}", df, f"y{k}", xs) for k in range(10) for xs in (["x"], ["x", "z"])]  # more than a task makes, of rows that differ
+    spark.sparkContext.setJobGroup("shared", "")
+    got = econ.fits(specs, "firm", "day")
+    spark.sparkContext.setJobGroup("other", "")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("shared")) <= 6  # one more a fit before
+    assert [n for n, _ in got] == [s[0] for s in specs]
+    for i in (0, 7, 19):
+        want = econ.panel_fit(df, *specs[i][2:], "firm", "day", corrected=False)
+        for k in ("coef", "se", "n", "n_firm", "n_day", "within_r2", "v"):
+            assert np.allclose(got[i][1][k], want[k], rtol=1e-9), (i, k)
+    assert [r["var"] for r in econ.result_rows(spark, got[1:2], {"s02": ["z"]}).collect()] == ["z"]
